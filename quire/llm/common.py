@@ -29,6 +29,14 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small frame: checkpoint() in the shared folder."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    return df.checkpoint()
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a frame that table() made, once nothing reads it any more."""
     spark = df.sparkSession
