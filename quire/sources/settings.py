@@ -1,0 +1,87 @@
+"""Settings: each field is read on its own and falls back to its default."""
+
+from __future__ import annotations
+
+import json
+import os
+from dataclasses import dataclass, field
+
+from quire.functions.text import java_regex
+from quire.operators.filters import DEFAULT_TITLE_RULES
+from quire.operators.generate import PROVIDERS
+
+EFFORTS = ("low", "medium", "high")
+
+
+@dataclass
+class Settings:
+    preview_chars: int = 120
+    min_chars: int | None = None
+    provider: str = "gemini"
+    models: dict[str, str] = field(default_factory=dict)
+    output_path: str | None = None
+    output_paths: dict[str, str] = field(default_factory=dict)
+    title_rules: list[dict] = field(default_factory=lambda: list(DEFAULT_TITLE_RULES))
+    effort: str | None = None
+
+
+def read_rule(x) -> dict | None:
+    """A title rule, or None if it is ill-formed or its pattern does not compile."""
+    if not isinstance(x, dict):
+        return None
+    if x.get("type") == "string" and isinstance(x.get("value"), str):
+        return {"type": "string", "value": x["value"]}
+    if x.get("type") == "regex" and isinstance(x.get("pattern"), str) and java_regex(x["pattern"], x.get("flags")) is not None:
+        return {"type": "regex", "pattern": x["pattern"], **({"flags": x["flags"]} if isinstance(x.get("flags"), str) else {})}
+    return None
+
+
+def merge_rules(*groups: list[dict]) -> list[dict]:
+    """All rules in order, equal ones once."""
+    out: dict[str, dict] = {}
+    for rule in (r for g in groups for r in g or []):
+        out.setdefault(json.dumps(rule, sort_keys=False), rule)
+    return list(out.values())
+
+
+def _get(data, *path):
+    for key in path:
+        data = data.get(key) if isinstance(data, dict) else None
+    return data
+
+
+def from_dict(data) -> Settings:
+    """Nested spellings come before the flat ones of old."""
+    out = Settings()
+
+    def first(kind, *paths):
+        for p in paths:
+            value = _get(data, *p)
+            if isinstance(value, kind) and not (kind is int and isinstance(value, bool)):
+                return value
+        return None
+
+    positive = lambda v, default: v if v is not None and v > 0 else default
+    out.preview_chars = positive(first(int, ("epub", "previewChars"), ("previewChars",)), out.preview_chars)
+    out.min_chars = positive(first(int, ("epub", "minChars"), ("minChars",)), None)
+    provider = first(str, ("generation", "provider"), ("provider",))
+    out.provider = provider if provider in PROVIDERS else out.provider
+    out.models = {p: m for p in PROVIDERS if (m := first(str, ("providers", p, "model"), (p, "model")))}
+    out.output_path = first(str, ("output", "path"), ("outputPath",))
+    out.output_paths = {k: v for k in ("json", "md", "anki") if (v := first(str, ("output", "paths", k)))}
+    effort = first(str, ("providers", "codex", "reasoningEffort"))
+    out.effort = effort.strip().lower() if effort and effort.strip().lower() in EFFORTS else None
+    groups = [[r for x in (_get(data, *p) if isinstance(_get(data, *p), list) else []) if (r := read_rule(x))] for p in (("epub", "filters", "titles"), ("epubTitleFilters",))]
+    out.title_rules = merge_rules(DEFAULT_TITLE_RULES, *groups)
+    return out
+
+
+def load(path: str) -> Settings:
+    """Settings of a file; one that is absent or cannot be parsed gives the defaults."""
+    if not os.path.exists(path):
+        return Settings()
+    with open(path, encoding="utf-8") as f:
+        try:
+            return from_dict(json.load(f))
+        except ValueError:
+            return Settings()
