@@ -9,7 +9,9 @@ soon as its rank is unique:
    least, so equal strings name equal anchors. A run of strings with the same anchor is one row.
 2. at up to 352 bytes: a run's whole extent, the pair of the ranks of length 200 at its two ends. If it is found
    twice, every string of the run repeats.
-3. at 200 bytes: the single positions of the runs that rounds 1 and 2 left open, pairs of ranks of length 128.
+3. at 200 bytes: the single positions of the runs that rounds 1 and 2 left open, pairs of ranks of length 128. Equal
+   strings have equal anchors, so it is enough to bring the bytes of the runs of one anchor together. Anchors with very
+   many extents go by the rank of each position instead, which Spark sums before and after its shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 
 LENGTH, ANCHOR = 200, 40
+#: Anchors with more extents than this are resolved by rows of single ranks, not in one task's memory.
+WIDE = 20_000
 #: Starts of strings that are held as vectors at a time; a longer text is cut into overlapping segments.
 SEGMENT = 1 << 19
 
@@ -124,43 +128,100 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
 
-def _find_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rank of length 200 of each position of the open runs; a weight of 2 says that the position surely repeats."""
+def _stretches(data: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Neighbouring runs i..j with the positions of their strings and the strings' ranks; runs come in order."""
+    i = 0
+    while i < len(firsts):
+        j = i + 1
+        while j < len(firsts) and firsts[j] <= lasts[j - 1] + LENGTH and lasts[j] - firsts[i] < SEGMENT:
+            j += 1
+        lo = int(firsts[i])
+        spots = _spots(firsts[i:j], lasts[i:j])
+        yield i, j, spots, ranks(data[lo : int(lasts[j - 1]) + LENGTH])[1][spots - lo]
+        i = j
+
+
+def _spots(firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """All positions of the runs."""
+    size = lasts - firsts + 1
+    return np.repeat(firsts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
+def _marks(value) -> tuple[np.ndarray, ...]:
+    v = value.values
+    order = np.argsort(np.asarray(v.field("first")), kind="stable")
+    return tuple(np.asarray(v.field(f))[order] for f in ("first", "last", "gram", "weight"))
+
+
+def _open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rank, h, n_bytes, at, weight of each position of the open runs; a weight of 2 says that the position surely repeats."""
+    for batch in batches:
+        out = []
+        for h, n, value, marks in zip(np.asarray(batch.column("h")), np.asarray(batch.column("n_bytes")), batch.column("text"), batch.column("open")):
+            data, (firsts, lasts, _, weight) = _bytes(value), _marks(marks)
+            for i, j, spots, rank in _stretches(data, firsts, lasts):
+                out.append((rank.view(np.int64), np.full(len(spots), h), np.full(len(spots), n), spots, np.repeat(weight[i:j], lasts[i:j] - firsts[i:j] + 1)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["rank", "h", "n_bytes", "at", "weight"])
+
+
+def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, h, n_bytes, first, weight and the bytes of each open run."""
+    for batch in batches:
+        out = []
+        for h, n, value, marks in zip(np.asarray(batch.column("h")).tolist(), np.asarray(batch.column("n_bytes")).tolist(), batch.column("text"), batch.column("open")):
+            text, found = value.as_buffer().to_pybytes(), _marks(marks)
+            out += [(g, h, n, a, w, text[a : b + LENGTH]) for a, b, g, w in zip(*(x.tolist() for x in found))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        for i in range(0, len(out), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out[i : i + 20_000]], t) for k, t in enumerate(kinds)], names=["gram", "h", "n_bytes", "first", "weight", "bytes"])
+
+
+def _alone_in(rows: pa.Table) -> pa.RecordBatch | None:
+    """h, n_bytes, at of the strings of weight 1 in whole groups of runs."""
+    if not rows.num_rows:
+        return None
+    first, weight = (np.asarray(rows.column(c).combine_chunks()) for c in ("first", "weight"))
+    parts = [_bytes(v) for v in rows.column("bytes").combine_chunks()]
+    size = np.array([len(p) for p in parts])
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    spots = _spots(begin, begin + size - LENGTH)
+    rank = ranks(np.concatenate(parts))[1][spots]
+    owner = np.repeat(np.arange(len(parts)), size - LENGTH + 1)
+    _, at, inverse = np.unique(rank, return_index=True, return_inverse=True)
+    alone = at[np.bincount(inverse, weights=weight[owner]) == 1]
+    own = owner[alone]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(rows.column("h").combine_chunks())[own]), pa.array(np.asarray(rows.column("n_bytes").combine_chunks())[own]), pa.array(first[own] + spots[alone] - begin[own])], names=["h", "n_bytes", "at"])
+
+
+def _alone_by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same over batches in the order of gram; the last group of a batch waits for the next."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        ranks_, keys, at, weight = [], [], [], []
-        for h, value, marks in zip(np.asarray(batch.column("h")), batch.column("text"), batch.column("open")):
-            if not marks.is_valid:
-                continue
-            data, v = _bytes(value), marks.values
-            firsts, lasts, w = (np.asarray(v.field(f)) for f in ("first", "last", "weight"))
-            order = np.argsort(firsts, kind="stable")
-            firsts, lasts, w = firsts[order], lasts[order], w[order]
-            # neighbouring runs share their bytes: ranks are taken over stretches of runs
-            i = 0
-            while i < len(firsts):
-                j = i + 1
-                while j < len(firsts) and firsts[j] <= lasts[j - 1] + LENGTH and lasts[j] - firsts[i] < SEGMENT:
-                    j += 1
-                lo = int(firsts[i])
-                whole = ranks(data[lo : int(lasts[j - 1]) + LENGTH])[1]
-                size = lasts[i:j] - firsts[i:j] + 1
-                spots = np.repeat(firsts[i:j] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                ranks_.append(whole[spots - lo].view(np.int64))
-                at.append(spots)
-                keys.append(np.full(len(spots), h))
-                weight.append(np.repeat(w[i:j], size))
-                i = j
-        if ranks_:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ranks_, keys, at, weight)], names=["rank", "h", "at", "weight"])
+        if not batch.num_rows:
+            continue
+        grams = np.asarray(batch.column("gram"))
+        ends = np.flatnonzero(grams[1:] != grams[:-1])
+        if held and np.asarray(held[-1].column("gram"))[-1] != grams[0]:
+            if (out := _alone_in(pa.Table.from_batches(held))) is not None:
+                yield out
+            held = []
+        if len(ends):
+            cut = int(ends[-1]) + 1
+            if (out := _alone_in(pa.Table.from_batches([*held, batch.slice(0, cut)]))) is not None:
+                yield out
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held and (out := _alone_in(pa.Table.from_batches(held))) is not None:
+        yield out
 
 
 def removed(closed: tuple[np.ndarray, np.ndarray], opened: tuple[np.ndarray, np.ndarray], alone: np.ndarray) -> list[tuple[int, int]]:
     """Maximal removed spans: strings that start in a closed run, or in an open one and not alone."""
     begin, end = [closed[0]], [closed[1] + LENGTH]
-    size = opened[1] - opened[0] + 1
-    if len(size):
-        spots = np.repeat(opened[0] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        spots = np.setdiff1d(spots, alone)
+    if len(opened[0]):
+        spots = np.setdiff1d(_spots(*opened), alone)
         begin.append(spots)
         end.append(spots + LENGTH)
     begin, end = np.concatenate(begin), np.concatenate(end)
@@ -205,24 +266,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns are not read. Equality is that of 64-bit ranks of the strings.
     """
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    rows = docs.select(i.alias("id"), F.xxhash64(i.isNull(), i.cast("string"), t.isNull(), t).alias("h"), t.alias("text"))
-    long_ = rows.where(F.octet_length("text") >= LENGTH).select("h", "text")
-    found = long_.mapInArrow(_find_runs, "h bigint, n_bytes bigint, first bigint, last bigint, gram bigint, extent bigint")
+    n_bytes = F.coalesce(F.octet_length(t), F.lit(0)).cast("bigint")
+    rows = docs.select(F.xxhash64(i.isNull(), i.cast("string"), t.isNull(), t).alias("h"), n_bytes.alias("n_bytes"), i.alias("id"), t.alias("text"))
+    key = ["h", "n_bytes"]
+    found = rows.where(n_bytes >= LENGTH).select("h", "text").mapInArrow(_find_runs, "h bigint, n_bytes bigint, first bigint, last bigint, gram bigint, extent bigint")
     found = found.select("h", F.col("n_bytes").cast("int"), F.col("first").cast("int"), F.col("last").cast("int"), "gram", "extent")
     gram, same = Window.partitionBy("gram"), Window.partitionBy("gram", "extent")
     ranked = found.withColumns({"g": F.count(F.lit(1)).over(gram), "lo": F.min("extent").over(gram), "hi": F.max("extent").over(gram)})
     ranked = ranked.where("g > 1").withColumns({"c": F.count(F.lit(1)).over(same), "k": F.row_number().over(same.orderBy("h", "first"))})
     # closed: the whole run repeats. A closed run still stands for its equals where its anchor has other extents.
-    open_ = F.col("c") == 1
-    ranked = ranked.select("h", "n_bytes", "first", "last", open_.alias("open"), ((F.col("lo") != F.col("hi")) & (F.col("k") == 1)).alias("asks"))
-    verdicts = table(ranked)
-
-    texts = rows.select("h", F.octet_length("text").alias("n_bytes"), "id", "text")
-    asks = verdicts.where("asks").groupBy("h", "n_bytes").agg(F.collect_list(F.struct("first", "last", F.when(F.col("open"), 1).otherwise(2).alias("weight"))).alias("open"))
-    # repeated rows are one place each for the runs above, but one text here
-    strings = texts.join(asks, ["h", "n_bytes"]).select("h", "n_bytes", "text", "open").mapInArrow(_find_strings, "rank bigint, h bigint, at bigint, weight bigint")
-    alone = strings.groupBy("rank").agg(F.sum("weight").alias("n"), F.min(F.struct("h", F.col("at").cast("int").alias("at"))).alias("x")).where("n = 1").groupBy("x.h").agg(F.collect_list("x.at").alias("alone"))
-    per_text = verdicts.where("open = false or asks").groupBy("h", "n_bytes").agg(F.collect_list(F.struct("first", "last", "open")).alias("found"))
-    met = texts.join(per_text, ["h", "n_bytes"], "left").join(alone, "h", "left").select("id", "text", "found", "alone")
+    ranked = ranked.withColumns({"open": F.col("c") == 1, "asks": (F.col("lo") != F.col("hi")) & (F.col("k") == 1)})
+    wide = F.sum(F.col("asks").cast("int")).over(gram) > WIDE
+    verdicts = table(ranked.select("h", F.col("n_bytes").cast("bigint"), "first", "last", F.when(F.col("asks"), F.col("gram")).alias("gram"), "open", "asks", wide.alias("wide")))
+
+    def asking(which: str) -> DataFrame:
+        asks = verdicts.where(f"asks and {which}").groupBy(key).agg(F.collect_list(F.struct("first", "last", "gram", F.when(F.col("open"), 1).otherwise(2).alias("weight"))).alias("open"))
+        # all columns of rows, so that every join with the texts reads the same shuffle
+        return rows.join(asks, key).select(*rows.columns, "open")
+
+    runs_ = asking("not wide").mapInArrow(_open_runs, "gram bigint, h bigint, n_bytes bigint, first bigint, weight bigint, bytes binary")
+    alone = runs_.repartition("gram").sortWithinPartitions("gram").mapInArrow(_alone_by_gram, "h bigint, n_bytes bigint, at bigint")
+    if not verdicts.where("wide").isEmpty():
+        strings = asking("wide").mapInArrow(_open_strings, "rank bigint, h bigint, n_bytes bigint, at bigint, weight bigint")
+        single = strings.groupBy("rank").agg(F.sum("weight").alias("n"), *[F.min(c).alias(c) for c in ("h", "n_bytes", "at")]).where("n = 1")
+        alone = alone.unionByName(single.select("h", "n_bytes", "at"))
+    alone = alone.groupBy(key).agg(F.collect_list(F.col("at").cast("int")).alias("alone"))
+    per_text = verdicts.where("open = false or asks").groupBy(key).agg(F.collect_list(F.struct("first", "last", "open")).alias("found"))
+    met = rows.join(per_text, key, "left").join(alone, key, "left").select("id", "text", "found", "alone")
     kind = rows.schema["id"].dataType.simpleString()
     return met.mapInArrow(_cut_out, f"id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary").withColumnRenamed("id", id_col)
