@@ -41,7 +41,8 @@ def targets(cells: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
     total = F.sum("source_size").over(everything) * F.lit(share_percent / 100)
     left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weight_left = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    level = F.when(left / weight_left <= F.col("cap") / F.col("w"), left / weight_left)
+    share = F.try_divide(left, weight_left)
+    level = F.when(share <= F.col("cap") / F.col("w"), share)
     per = per.withColumn("level", level).withColumn("level", F.first("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap")))
     return per.select("key", "source", "source_size", target.alias("target"))
@@ -53,13 +54,13 @@ def tilts(cells: DataFrame, wanted: DataFrame, max_rate: int = MAX_RATE, steps:
     Newton steps on log tokens(lam) = log target, kept inside a bracket; each is one aggregation of the cells.
     Sources at their limit need none: all their documents get max_rate.
     """
-    scale = cells.groupBy("key").agg((F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
+    scale = cells.groupBy("key").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")), F.sum(F.col("n") * F.col("size"))).alias("scale"))
     state = wanted.join(scale, "key").withColumns({"at_limit": F.col("target") >= max_rate * F.col("source_size").cast("double"), "lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
     state = state.withColumn("done", F.col("at_limit") | (F.col("source_size") == 0) | (F.col("target") <= 0))
     state = cut(state)
     for _ in range(steps):
         open_ = state.where(~F.col("done"))
-        x = F.col("size") / F.col("scale")
+        x = F.try_divide(F.col("size"), F.col("scale"))
         r = F.exp(F.col("lam") * x)
         tokens = F.col("n") * F.col("size")
         got = cells.join(open_.select("key", "lam", "scale"), "key").groupBy("key").agg(
@@ -70,7 +71,7 @@ def tilts(cells: DataFrame, wanted: DataFrame, max_rate: int = MAX_RATE, steps:
         error = F.ln(F.col("target")) - F.ln(F.col("g"))
         lo = F.when(error > 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(error <= 0, F.col("lam")).otherwise(F.col("hi"))
-        step = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), error * F.col("g") / F.col("slope")))
+        step = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.try_divide(error * F.col("g"), F.col("slope"))))
         step = F.when(F.col("slope") > 0, step).otherwise(F.signum(error))
         s = s.withColumns({"error": error, "lo2": lo, "hi2": hi, "next": F.col("lam") + step})
         outside = (F.col("next") <= F.col("lo2")) | (F.col("next") >= F.col("hi2"))
@@ -89,7 +90,7 @@ def copies_by_cell(cells: DataFrame, tilted: DataFrame, max_rate: int = MAX_RATE
     half the largest size; a second walk over the sizes, largest first, then takes or gives back what is left over.
     A source of W tokens has fewer than sqrt(2 W) sizes, which bounds what the walk holds.
     """
-    rate = F.when(F.col("at_limit"), F.lit(float(max_rate))).when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(max_rate)), F.exp(F.col("lam") * F.col("size") / F.col("scale"))))
+    rate = F.when(F.col("at_limit"), F.lit(float(max_rate))).when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(max_rate)), F.exp(F.try_divide(F.col("lam") * F.col("size"), F.col("scale")))))
     by_size = Window.partitionBy("key").orderBy(F.col("size").desc())
     whole = F.floor(F.round(F.sum(F.round(F.col("n") * F.col("rate"), 6)).over(by_size), 4) + 0.5)
     c = cells.join(tilted.select("key", "target", "at_limit", "lam", "scale"), "key").withColumn("rate", rate).withColumn("whole", whole)

@@ -67,7 +67,7 @@ def host_verdicts(base: DataFrame, host_col: str, failed_col: str, max_rate: flo
     hosts = base.where(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host_key")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed_col).cast("bigint")).alias("f"))
     rate = F.col("f") / F.col("n")
     prior = hosts.agg((F.sum("f") / F.sum("n")).alias("m"), F.var_samp(rate).alias("v"))
-    fitted = F.col("m") * (1 - F.col("m")) / F.col("v") - 1
+    fitted = F.try_divide(F.col("m") * (1 - F.col("m")), F.col("v")) - 1
     strength = F.when(F.col("v") > 0, F.least(F.greatest(fitted, F.lit(MIN_STRENGTH)), F.lit(MAX_STRENGTH))).otherwise(F.lit(MAX_STRENGTH))
     prior = prior.select("m", strength.alias("s"))
     # one row of two numbers: the only thing that is broadcast without a count

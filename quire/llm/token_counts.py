@@ -53,7 +53,7 @@ def _bounds(tokenizer, text: str, at: int) -> dict[int, int]:
     """Position in the whole text of each pre-token's start -> number of the chunk's tokens before it."""
     enc = tokenizer.encode(text, add_special_tokens=False)
     out, last = {}, None
-    for i, (word, (start, _)) in enumerate(zip(enc.words, enc.offsets)):
+    for i, (word, (start, _)) in enumerate(zip(enc.word_ids, enc.offsets)):
         if word is None or word != last:
             out.setdefault(at + start, i)
         last = word
