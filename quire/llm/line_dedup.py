@@ -9,14 +9,16 @@ one edit, the first half or the last half of the shorter one is in both.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, words
+from quire.llm.common import hash2, table
 
 #: Lines of fewer words are only compared whole: one edit would be more than a fifth of them.
 MIN_WORDS = 5
-#: Up to this many candidate lines (counted first; a long each) are broadcast to find their words again.
+#: Words in a half that two lines must share; longer halves would tell no more lines apart.
+HALF = 8
+#: Up to this many lines (counted first; two longs each) are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 500_000
 
 
@@ -27,23 +29,34 @@ def _row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each line that has a word: o (its place: id, row key, number), w (its words), l, l2 (their hashes)."""
+    """A row for each line that has a word: o (its place: id, row key, number), line (its words, a space between), l, l2 (hashes)."""
     one, two = _row_keys(id_col, text_col)
-    i = F.col(f"`{id_col}`")
-    rows = docs.select(i.isNull().alias("none"), i.alias("id"), one.alias("h"), two.alias("h2"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("no", "line"))
-    rows = rows.select(F.struct("none", "id", "h", "h2", "no").alias("o"), words(F.col("line")).alias("w"))
-    rows = rows.where(F.size("w") > 0)
-    return rows.select("o", "w", F.xxhash64("w").alias("l"), F.xxhash64(F.lit("second"), F.col("w")).alias("l2"))
+    i, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    for c in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    rows = docs.select(i.isNull().alias("none"), i.alias("id"), one.alias("h"), two.alias("h2"), text.alias("t"))
+    single = F.when(F.contains("t", F.lit("  ")), F.regexp_replace("t", " +", " ")).otherwise(F.col("t"))
+    rows = rows.select("none", "id", "h", "h2", F.posexplode(F.split(single, "\n")).alias("no", "line"))
+    rows = rows.select(F.struct("none", "id", "h", "h2", "no").alias("o"), F.trim("line").alias("line")).where("line <> ''")
+    return rows.select("o", "line", F.xxhash64("line").alias("l"), hash2(F.col("line")).alias("l2"))
 
 
-def _halves(w: Column) -> Column:
-    """Hashes of the first and last halves, for partners as long and one word shorter."""
-    n = F.size(w)
-    longer, shorter = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+def _size(line: Column) -> Column:
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def _half(n: Column) -> Column:
+    """Length of the halves that a line shares with a line one word shorter."""
+    return F.least(F.floor((n - 1) / 2), F.lit(HALF)).cast("int")
+
+
+def _halves(line: Column, n: Column) -> Column:
+    """Hashes of the first (side 1) and last (side 2) halves, for partners as long and one word shorter."""
     keys = []
-    for a in (longer, shorter):
-        keys += [F.xxhash64(F.lit("first"), a, F.slice(w, F.lit(1), a)), F.xxhash64(F.lit("last"), a, F.slice(w, n - a + 1, a))]
-    return F.when(n >= MIN_WORDS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
+    for a in (_half(n + 1), _half(n)):
+        for side, count in ((1, a), (2, -a)):
+            keys.append(F.struct(F.xxhash64(F.lit(side), a, F.call_function("substring_index", line, F.lit(" "), count)).alias("k"), F.lit(side).alias("side")))
+    return F.when(n >= MIN_WORDS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<struct<k:bigint,side:int>>"))
 
 
 def _without(w: Column, i: Column) -> Column:
@@ -60,30 +73,36 @@ def _within_one(a: Column, b: Column) -> Column:
 
 def _near(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """l, l2 of the distinct lines that have an earlier distinct line within one edit."""
-    halves = distinct.select("l", "l2", F.explode("halves").alias("k"))
-    shared = halves.groupBy("k").agg(F.min("l").alias("a"), F.max("l").alias("b")).where("a <> b").select("k")
-    found = table(halves.join(shared, "k", "left_semi").select("l", "l2").distinct())
-    wanted = found.select(F.col("l").alias("__l"))
+    halves = distinct.select("l", "l2", F.explode("halves").alias("x")).select("l", "l2", "x.k", "x.side")
+    of_key = Window.partitionBy("k")
+    shared = halves.withColumns({"lo": F.min("l").over(of_key), "hi": F.max("l").over(of_key)}).where("lo <> hi")
+    found = table(shared.groupBy("l", "l2").agg((F.min("side") == 1).alias("first"), (F.max("side") == 2).alias("last")))
+    wanted = found.select(F.col("l").alias("__l"), F.col("l2").alias("__l2"), "first", "last")
     if found.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
-    first = distinct.join(found, ["l", "l2"], "left_semi").select("l", "l2", F.col("o.h").alias("h"), F.col("o.no").alias("no"))
-    seen = _lines(docs, id_col, text_col).join(wanted, F.col("l") == F.col("__l"), "left_semi")
-    # one line stands for its equals: the first, which distinct names
-    seen = seen.select("o", "w", "l", "l2", F.col("o.h").alias("h"), F.col("o.no").alias("no"))
-    lines = table(seen.join(first, ["l", "l2", "h", "no"], "left_semi").select("o", "w", "l", "l2").dropDuplicates(["l", "l2"]))
-
-    places = lines.select("o", "l", F.posexplode("w").alias("p", "word"), "w").select("o", "l", (F.col("p") + 1).alias("i"), "w")
-    variants = places.select("o", F.xxhash64(F.col("i"), _without(F.col("w"), F.col("i"))).alias("replaced"), F.xxhash64(F.lit(0), _without(F.col("w"), F.col("i"))).alias("deleted"))
-    whole = lines.select("o", F.xxhash64(F.lit(0), F.col("w")).alias("k"))
-
-    by_place = variants.groupBy("replaced").agg(F.min("o").alias("e"), F.max("o").alias("z")).where("e <> z").select(F.col("replaced").alias("k"), "e")
-    replaced = variants.select("o", F.col("replaced").alias("k")).join(by_place, "k").where("o > e").select("o", "e")
-    # a whole line against the lines that lack one word of another: either may be the earlier
-    shorter = whole.select(F.col("o").alias("s"), "k")
-    longer = variants.select(F.col("o").alias("g"), F.col("deleted").alias("k")).distinct()
-    met = longer.join(shorter, "k").where("g <> s")
-    later_long = met.where("s < g").select(F.col("g").alias("o"), F.col("s").alias("e"))
-    later_short = met.groupBy("s").agg(F.min("g").alias("e")).where("e < s").select(F.col("s").alias("o"), "e")
+    seen = _lines(docs, id_col, text_col).join(wanted, (F.col("l") == F.col("__l")) & (F.col("l2") == F.col("__l2")))
+    lines = table(seen.groupBy("l", "l2").agg(F.min("o").alias("o"), *[F.first(c).alias(c) for c in ("line", "first", "last")]).withColumn("w", F.split("line", " ")).drop("line"))
+
+    # a shared half leaves only the other part of the line for the edit
+    n = F.size("w")
+    places = lines.select("l", "l2", "first", "last", "w", F.posexplode("w").alias("p", "word")).withColumn("p", F.col("p") + 1)
+    places = places.where((F.col("first") & (F.col("p") > _half(n))) | (F.col("last") & (F.col("p") <= n - _half(n))))
+    rest = _without(F.col("w"), F.col("p"))
+    keys = F.array(F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit(1), F.col("p"), rest).alias("k")), F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit(2), rest).alias("k")))
+    variants = places.select("l", "l2", F.explode(keys).alias("x")).select("l", "l2", "x.kind", "x.k")
+    whole = lines.select("l", "l2", F.lit(3).alias("kind"), F.xxhash64(F.lit(2), F.col("w")).alias("k"))
+    met = variants.unionByName(whole).withColumns({"lo": F.min("l").over(of_key), "hi": F.max("l").over(of_key), "least": F.min("kind").over(of_key), "most": F.max("kind").over(of_key)})
+    met = met.where("lo <> hi and (most = 1 or (least = 2 and most = 3))").select("l", "l2", "kind", "k")
+    met = table(met.distinct().join(lines.select("l", "l2", "o"), ["l", "l2"]).select("o", "kind", "k"))
+
+    # replaced: all lines of a key are within one edit of each other, and the earliest stands for them
+    by_place = met.where("kind = 1").groupBy("k").agg(F.min("o").alias("e"))
+    replaced = met.where("kind = 1").join(by_place, "k").where("o > e").select("o", "e")
+    # deleted: a whole line against the lines that lack one word of another; either may be the earlier
+    longer, shorter = met.where("kind = 2").select("k", F.col("o").alias("g")), met.where("kind = 3").select("k", F.col("o").alias("s"))
+    both = longer.join(shorter, "k").where("g <> s")
+    later_long = both.where("s < g").select(F.col("g").alias("o"), F.col("s").alias("e"))
+    later_short = both.groupBy("s").agg(F.min("g").alias("e")).where("e < s").select(F.col("s").alias("o"), "e")
     pairs = replaced.unionByName(later_long).unionByName(later_short).distinct()
 
     a = lines.select("o", F.col("w").alias("wo"), "l", "l2")
@@ -93,9 +112,12 @@ def _near(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> D
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows h, h2 (the row's key) and keep: the numbers, from 0, of the lines with a word that stay."""
-    lines = _lines(docs, id_col, text_col).select("o", "l", "l2", _halves(F.col("w")).alias("halves"))
+    lines = _lines(docs, id_col, text_col).select("o", "l", "l2", _halves(F.col("line"), _size(F.col("line"))).alias("halves"))
     distinct = table(lines.groupBy("l", "l2").agg(F.min("o").alias("o"), F.first("halves").alias("halves")))
-    stay = distinct.join(table(_near(docs, distinct, id_col, text_col)), ["l", "l2"], "left_anti")
+    near = table(_near(docs, distinct, id_col, text_col))
+    if near.count() <= BROADCAST_LINES:
+        near = F.broadcast(near)
+    stay = distinct.select("l", "l2", "o").join(near, ["l", "l2"], "left_anti")
     return stay.groupBy(F.col("o.h").alias("h"), F.col("o.h2").alias("h2")).agg(F.sort_array(F.collect_list("o.no")).alias("keep"))
 
 
