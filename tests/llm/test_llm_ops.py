@@ -295,20 +295,20 @@ def test_pieces_equal_the_library(rows):
         assert p.decode(ids) == p.library.decode(ids), text
 
 
-def test_viterbi_equals_the_library():
-    """The same pieces read as a unigram model: its type field is patched from BPE to unigram."""
-    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
-        data = f.read()
-    trainer = next(v for k, v in pieces._fields(data) if k == 2)
-    at = trainer.index(bytes([3 << 3, 2]))
-    patched = data.replace(trainer, trainer[:at] + bytes([3 << 3, 1]) + trainer[at + 2 :])
-    p = pieces.Pieces(patched)
-    assert p.kind == pieces.UNIGRAM
-    for text in ["the theme of these", "Hello world", "international agreement", "naïve café"]:
-        ours, theirs = p.encode(text), p.library.encode(text)
-        total = lambda ids: sum(p.score.get(k, p.unknown_score) for k in ids)
-        assert p.decode(ours) == text
-        assert total(ours) == pytest.approx(total(theirs)), text
+def test_viterbi_is_the_best_sum():
+    """The same pieces read as a unigram model, against dynamic programming over all substrings."""
+    p = model(pieces.UNIGRAM)
+    for text in ["the theme of these", "Hello world", "international agreement", "naïve café", "ꙮ a ꙮꙮ", "x" * 40, ""]:
+        full = p.normal(text)
+        best = [0.0] + [float("-inf")] * len(full)
+        for end in range(1, len(full) + 1):
+            for start in range(end):
+                score = p.score[p.id_of[full[start:end]]] if full[start:end] in p.id_of else p.unknown_score if end - start == 1 else float("-inf")
+                best[end] = max(best[end], best[start] + score)
+        ids = p.encode(text)
+        unknown = sum(c not in p.id_of for c in full)
+        assert p.decode(ids) == text
+        assert sum(p.score.get(k, 0.0) for k in ids) + unknown * p.unknown_score == pytest.approx(best[-1]), text
 
 
 def test_round_trip(docs, rows, empty):
