@@ -296,3 +296,29 @@ def test_drop_folder(spark, tmp_path):
     for _ in range(2):
         write_chapters(stream_chapters(spark, src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("page_id", "text", "filter_reason")) == [(1, "Indexx", "matches filter pattern: ^index$"), (2, "y", None)]
+
+
+def test_convert(spark, tmp_path):
+    from quire.plans import convert
+
+    epub(tmp_path / "a.epub", [("Contents", "<p>x</p>"), ("One", "<p>a &amp; b</p>"), ("Two", "<p>c</p>")])
+    out = convert.epub(spark, str(tmp_path / "a.epub"), start=1, end=3, exclude="3")
+    assert rows(out.sections.select("index", "title", "text", "original_chapter_index")) == [(1, "One", "a & b", 2)]
+    assert out.plain.first()["plain"] == "1. One\na & b"
+    m = out.metadata.first()
+    assert (m["title"], m["author"], m["extractedSections"], m["filteredSections"], m["extractedRange"], m["extractedPages"]) == ("Book", "Me", 1, 3, "Chapters 1-3", 3)
+    assert rows(out.audit.select("ord", "filter_reason")) == [(1, "matches filter pattern: ^contents?$"), (2, None), (3, "excluded by --exclude-sections"), (4, "outside range 1-3")]
+    assert convert.epub(spark, str(tmp_path / "a.epub"), end=2, full_fidelity=True).sections.count() == 2
+    with pytest.raises(Exception, match="within 1 and 4"):
+        convert.epub(spark, str(tmp_path / "a.epub"), end=9).sections.collect()
+    for bad in ({"start": 0}, {"start": 3, "end": 2}, {"exclude": ""}):
+        with pytest.raises(ValueError):
+            convert.epub(spark, str(tmp_path / "a.epub"), **bad)
+    (tmp_path / "p.pdf").write_bytes(b"one\f \fthree")
+    split = lambda b: b.decode().split("\f")
+    out = convert.pdf(spark, str(tmp_path / "p.pdf"), split, index_ranges="1-2,3-3,4-9")
+    assert rows(out.sections.select("index", "title", "text", "page_range")) == [(1, "Section 1", "one", "1-2"), (2, "Section 2", "three", "3-3")]
+    m = out.metadata.first()
+    assert (m["title"], m["extractedPages"], m["indexChapters"], m["extractedSections"]) == ("p", 9, 3, 2)
+    out = convert.pdf(spark, str(tmp_path / "p.pdf"), split)
+    assert rows(out.sections.select("text", "page_range", "processed_pages")) == [("one three", "1-3", 2)]
