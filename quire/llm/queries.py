@@ -107,5 +107,34 @@ FROM f LEFT JOIN v USING (source)
 """
 
 
+OP1_SQL = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no
+  FROM (SELECT DISTINCT doc_id, text FROM documents)
+), worded AS (
+  SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM split
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, no) AS o FROM worded
+), d AS (
+  SELECT ws, min(o) AS o FROM placed WHERE len(ws) > 0 GROUP BY ws
+), v AS (
+  SELECT o, i, ws[:i - 1] || ws[i + 1:] AS r FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM d WHERE len(ws) >= 5)
+), near AS (
+  SELECT v.o FROM v JOIN (SELECT i, r, min(o) AS m FROM v GROUP BY i, r) g ON v.i = g.i AND v.r = g.r WHERE v.o > g.m
+  UNION SELECT v.o FROM v JOIN d ON d.ws = v.r WHERE len(d.ws) >= 5 AND v.o > d.o
+  UNION SELECT d.o FROM v JOIN d ON d.ws = v.r WHERE len(d.ws) >= 5 AND d.o > v.o
+), kept AS (
+  SELECT p.*, len(p.ws) = 0 OR p.o IN (SELECT o FROM d WHERE o NOT IN (SELECT o FROM near)) AS keep FROM placed p
+), t AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT keep) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE keep), '') AS text
+  FROM kept GROUP BY doc_id
+)
+SELECT a.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CAST(length(t.text) AS BIGINT) AS kept_chars, sha256(t.text) AS kept_sha256
+FROM documents a LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}
