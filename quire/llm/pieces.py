@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Entries of the caches of words and pairs in each Python worker.
-CACHE = 300_000
+CACHE = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -73,17 +73,19 @@ class Pieces:
         machine = ahocorasick.Automaton()
         for i in range(n):
             if not (self.is_byte[i] or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
-                machine.add_word(self.text[i], (len(self.text[i]), i))
                 self.id_of[self.text[i]] = i
                 self.score[i] = lib.get_score(i)
+        # a piece that BPE does not build from its own text can never be a state
+        self.whole = {i for t, i in self.id_of.items() if self.kind != BPE or self.merged(t) == [t]}
+        for i in self.whole:
+            machine.add_word(self.text[i], (len(self.text[i]), i))
         machine.make_automaton()
         self.machine = machine
         self.unknown_score = min(self.score.values(), default=0.0) - 10.0
         # no piece goes on past a mark that follows another character: words can be encoded one by one
         self.by_word = all(MARK not in p.lstrip(MARK) for p in self.id_of)
         self.words: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def normal(self, text: str) -> str:
         return (MARK + text.replace(" ", MARK) if text else "") if self.plain else self.library.normalize(text)
@@ -105,40 +107,25 @@ class Pieces:
         return parts
 
     def may_follow(self, a: int, b: int) -> bool:
-        """Whether BPE leaves the two pieces apart where they meet; a negative id is a character without a piece."""
-        if a < 0 or b < 0:
-            return True
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
-        return got
-
-    def is_whole(self, k: int) -> bool:
-        got = self.whole.get(k)
-        if got is None:
-            got = self.whole[k] = self.merged(self.text[k]) == [self.text[k]]
+        """Whether BPE leaves the two pieces apart where they meet."""
+        if len(self.pairs) >= CACHE:
+            self.pairs.clear()
+        got = self.pairs[a * len(self.text) + b] = self.merged(self.text[a] + self.text[b]) == [self.text[a], self.text[b]]
         return got
 
     def _bpe(self, text: str) -> list[int]:
-        n = len(text)
-        last, size = [0] * (n + 1), [0] * (n + 1)
-        done = 0  # positions up to here have their state
-
-        def unknown(upto: int) -> None:
-            nonlocal done
-            while done < upto:
-                done += 1
-                if not size[done]:
-                    last[done], size[done] = -1, 1
-
+        # where no piece fits, the state is a character without a piece: -1, after which every piece may stand
+        last, size = [-1] * (len(text) + 1), [1] * (len(text) + 1)
+        known, n = self.pairs.get, len(self.text)
         for end, (length, k) in self.machine.iter(text):
-            unknown(end)
-            start = end + 1 - length
-            if not size[end + 1] and self.is_whole(k) and (start == 0 or self.may_follow(last[start], k)):
-                last[end + 1], size[end + 1] = k, length
-        unknown(n)
+            end += 1
+            if last[end] < 0:
+                a = last[end - length]
+                fits = a < 0 or known(a * n + k)
+                if fits is None:
+                    fits = self.may_follow(a, k)
+                if fits:
+                    last[end], size[end] = k, length
         return self._trace(text, last, size)
 
     # unigram
@@ -193,7 +180,8 @@ class Pieces:
         for word in WORD.findall(full):
             ids = words.get(word)
             if ids is None:
-                ids = one(word)
+                k = self.id_of.get(word) if self.kind == BPE else None
+                ids = [k] if k in self.whole else one(word)
                 if len(word) <= 64:
                     if len(words) >= CACHE:
                         words.clear()
