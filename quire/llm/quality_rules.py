@@ -105,7 +105,8 @@ def keep_quality(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
     The measures are computed twice, once for the hosts and once for the filter: cheaper than moving or writing texts.
     """
     columns = docs.columns
-    measured = base_rules(docs, text_col, "__q_")
+    # a generated column stops the filter from being pushed into the measures, where it would repeat them for each word
+    measured = base_rules(docs, text_col, "__q_").withColumn("__q_failed", F.explode(F.array("__q_base_failed")))
     hosts = host_verdicts(base_rules(docs.select(F.col(text_col), F.col(host_col).alias("__q_host")), text_col, "__q_"), "__q_host", "__q_base_failed", max_rate)
-    out = _with_verdict(measured, hosts, host_col, "__q_base_failed", "__q_kept")
+    out = _with_verdict(measured, hosts, host_col, "__q_failed", "__q_kept")
     return out.where("__q_kept").select(*[F.col(f"`{c}`") for c in columns])
