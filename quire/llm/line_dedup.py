@@ -16,8 +16,6 @@ from quire.llm.common import hash2, table
 
 #: Lines of fewer words are only compared whole: one edit would be more than a fifth of them.
 MIN_WORDS = 5
-#: Words in a half that two lines must share; longer halves would tell no more lines apart.
-HALF = 8
 #: Up to this many lines (counted first; two longs each) are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 500_000
 
@@ -47,7 +45,12 @@ def _size(line: Column) -> Column:
 
 def _half(n: Column) -> Column:
     """Length of the halves that a line shares with a line one word shorter."""
-    return F.least(F.floor((n - 1) / 2), F.lit(HALF)).cast("int")
+    return F.floor((n - 1) / 2).cast("int")
+
+
+def _part(line: Column, count: Column) -> Column:
+    """The first `count` words, or the last -count."""
+    return F.call_function("substring_index", line, F.lit(" "), count)
 
 
 def _halves(line: Column, n: Column) -> Column:
@@ -55,7 +58,7 @@ def _halves(line: Column, n: Column) -> Column:
     keys = []
     for a in (_half(n + 1), _half(n)):
         for side, count in ((1, a), (2, -a)):
-            keys.append(F.struct(F.xxhash64(F.lit(side), a, F.call_function("substring_index", line, F.lit(" "), count)).alias("k"), F.lit(side).alias("side")))
+            keys.append(F.struct(F.xxhash64(F.lit(side), a, _part(line, count)).alias("k"), F.lit(side).alias("side")))
     return F.when(n >= MIN_WORDS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<struct<k:bigint,side:int>>"))
 
 
@@ -81,16 +84,18 @@ def _near(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> D
     if found.count() <= BROADCAST_LINES:
         wanted = F.broadcast(wanted)
     seen = _lines(docs, id_col, text_col).join(wanted, (F.col("l") == F.col("__l")) & (F.col("l2") == F.col("__l2")))
-    lines = table(seen.groupBy("l", "l2").agg(F.min("o").alias("o"), *[F.first(c).alias(c) for c in ("line", "first", "last")]).withColumn("w", F.split("line", " ")).drop("line"))
+    lines = table(seen.groupBy("l", "l2").agg(F.min("o").alias("o"), *[F.first(c).alias(c) for c in ("line", "first", "last")]))
 
     # a shared half leaves only the other part of the line for the edit
-    n = F.size("w")
-    places = lines.select("l", "l2", "first", "last", "w", F.posexplode("w").alias("p", "word")).withColumn("p", F.col("p") + 1)
-    places = places.where((F.col("first") & (F.col("p") > _half(n))) | (F.col("last") & (F.col("p") <= n - _half(n))))
-    rest = _without(F.col("w"), F.col("p"))
-    keys = F.array(F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit(1), F.col("p"), rest).alias("k")), F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit(2), rest).alias("k")))
+    n = _size(F.col("line")).cast("int")
+    places = lines.select("l", "l2", "first", "last", "line", n.alias("n"), F.explode(F.sequence(F.lit(1), n)).alias("p"))
+    half = _half(F.col("n"))
+    places = places.where((F.col("first") & (F.col("p") > half)) | (F.col("last") & (F.col("p") <= F.col("n") - half)))
+    rest = F.concat_ws(" ", *[F.nullif(_part(F.col("line"), c), F.lit("")) for c in (F.col("p") - 1, F.col("p") - F.col("n"))])
+    places = places.select("l", "l2", "p", rest.alias("rest"))
+    keys = F.array(F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit(1), F.col("p"), F.col("rest")).alias("k")), F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit(2), F.col("rest")).alias("k")))
     variants = places.select("l", "l2", F.explode(keys).alias("x")).select("l", "l2", "x.kind", "x.k")
-    whole = lines.select("l", "l2", F.lit(3).alias("kind"), F.xxhash64(F.lit(2), F.col("w")).alias("k"))
+    whole = lines.select("l", "l2", F.lit(3).alias("kind"), F.xxhash64(F.lit(2), F.col("line")).alias("k"))
     met = variants.unionByName(whole).withColumns({"lo": F.min("l").over(of_key), "hi": F.max("l").over(of_key), "least": F.min("kind").over(of_key), "most": F.max("kind").over(of_key)})
     met = met.where("lo <> hi and (most = 1 or (least = 2 and most = 3))").select("l", "l2", "kind", "k")
     met = table(met.distinct().join(lines.select("l", "l2", "o"), ["l", "l2"]).select("o", "kind", "k"))
@@ -105,8 +110,8 @@ def _near(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> D
     later_short = both.groupBy("s").agg(F.min("g").alias("e")).where("e < s").select(F.col("s").alias("o"), "e")
     pairs = replaced.unionByName(later_long).unionByName(later_short).distinct()
 
-    a = lines.select("o", F.col("w").alias("wo"), "l", "l2")
-    b = lines.select(F.col("o").alias("e"), F.col("w").alias("we"))
+    a = lines.select("o", F.split("line", " ").alias("wo"), "l", "l2")
+    b = lines.select(F.col("o").alias("e"), F.split("line", " ").alias("we"))
     return pairs.join(a, "o").join(b, "e").where(_within_one(F.col("wo"), F.col("we"))).select("l", "l2").distinct()
 
 
@@ -135,9 +140,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = docs.withColumns({"__h": one, "__h2": two}).join(keep, ["__h", "__h2"], "left")
     # one character a line, so that a line's flag is found by its number
     marks = F.transform("__keep", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.coalesce(F.get("__keep", i - 1), F.lit(-1)) - 1), F.lit("1")))
-    met = met.withColumn("__flags", F.split(F.array_join(F.coalesce(marks, F.array().cast("array<string>")), ""), ""))
-    met = met.withColumn("__lines", F.split(F.col(f"`{text_col}`"), "\n"))
-    met = met.withColumn("__left", F.filter("__lines", lambda x, i: (F.get("__flags", i) == "1").eqNullSafe(True) | ~x.rlike(r"[^ \t\n\x0B\f\r]")))
+    flags = F.split(F.array_join(F.coalesce(marks, F.array().cast("array<string>")), ""), "")
+    lines = F.split(F.col(f"`{text_col}`"), "\n")
+    # flags become a variable, so that a filter on the text, pushed down to here, does not compute them for each line
+    left = F.transform(F.array(flags), lambda f: F.filter(lines, lambda x, i: (F.get(f, i) == "1").eqNullSafe(True) | ~x.rlike(r"[^ \t\n\x0B\f\r]")))
+    met = met.withColumn("__lines", lines).withColumn("__left", F.get(left, F.lit(0)))
     out = [F.array_join("__left", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns]
     if counts:
         total = F.coalesce(F.size("__lines"), F.lit(0))
