@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quire.llm import components, line_dedup, media, mixing, pieces, quality_rules, sharding, simhash, suffix_dedup, token_counts, toxicity  # noqa: E402
+from quire.llm import components, line_dedup, media, mixing, pieces, quality_rules, sharding, simhash, similar, suffix_dedup, token_counts, toxicity  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ASCII_WS = " \t\n\x0b\x0c\r"
@@ -468,6 +468,56 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+# similar texts
+
+
+def similar_brute(rows, t=0.8, k=5):
+    """Ids kept of (id, text): the smallest of each component of pairs with that Jaccard similarity."""
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and (sets[a] == sets[b] or both >= t * (len(sets[a]) + len(sets[b]) - both) - 1e-9 and both):
+                a_, b_ = sorted((find(a), find(b)))
+                root[b_] = a_
+    return {find(i) for i in sets}
+
+
+def test_similar_texts(spark, docs, rows, empty):
+    corpus = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    own = []
+    for _ in range(25):
+        line = [word() for _ in range(rng.randint(5, 120))]
+        for _ in range(rng.randint(1, 14)):  # chains of copies on both sides of 0.8
+            own.append(" ".join(line))
+            for _ in range(rng.randint(0, len(line) // 25 + 1)):
+                line[rng.randrange(len(line))] = word()
+    hub = [word() for _ in range(60)]  # copies alike to the hub, most of them not to each other
+    own += [" ".join(hub)] + [" ".join([*hub[:k], word(), *hub[k + 1 :]]) for k in range(4, 56)] + [None, "", " \n", "A b", "a B", "a b c"]
+    rng.shuffle(own)
+    table = [(i, t, "s") for i, t in enumerate(own)]
+    want = similar_brute([r[:2] for r in table])
+    kept = corpus.simhash(spark, make(spark, table), "")
+    assert {r["doc_id"] for r in kept.collect()} == want and len(want) < len(table)
+    other = similar_brute([(i, t) for i, t, _ in rows if i is not None and i != 7], 0.5, 3)
+    got = similar.keep_one_similar(docs.where("doc_id <> 7"), shingle=3, similarity=0.5)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == other
+    assert similar.keep_one_similar(docs).where("doc_id is null").count() == 1  # null ids give way to others
+    assert similar.keep_one_similar(empty).count() == 0
+
+
 # pipeline
 
 
