@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space between words; everything else belongs to a word.
 SPACE = r"[ \t\n\x0B\f\r]"
+#: Used only where no shared folder is set and driver and executors are one process.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/quire"
+#: Bytes of Arrow data that are handled at a time in a Python worker; a longer row is handled alone.
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local default where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context.
+
+    Where neither is set, a local master gets a local folder, and any other master is an error: its executors would
+    write to their own disks.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (own := context._jsc.sc().getCheckpointDir()).isDefined():
+        found = own.get()
+    if not found and not re.match(r"local(\[[^,]*\])?$", context.master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+    return found or LOCAL_CHECKPOINTS
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -32,8 +48,8 @@ def table(df: DataFrame) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small frame: checkpoint() in the shared folder."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
@@ -47,6 +63,26 @@ def drop_table(df: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores after it if there is such a column already (in any case of letters)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, so that helper columns beside it cannot meet a column of the same name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about so many bytes of Arrow data, cut by its average row; long rows stay whole."""
+    rows = max(1, batch.num_rows * size // max(size, batch.nbytes))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
