@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import drop_table, table
 
 MAX_STEPS = 60
 
@@ -14,24 +14,26 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: columns a, b (bigint, a <> b). Returns node, root: the smallest node of the node's component.
 
     Nodes without an edge are not returned; nulls are not allowed; repeated edges do not matter. Each step is a
-    grouping by node with a minimum, which is combined before the shuffle, and a join of that minimum to the edges,
-    which Spark may split; neighbourhoods are never gathered.
+    grouping by node with a minimum, which is combined before the shuffle, and a merge join of that minimum to the
+    edges, which Spark may split; neighbourhoods are never gathered. Many steps of broadcasts would fill the driver,
+    which frees them only when it collects garbage. Each step's edges are a table, removed when the next one is there.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    e = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(MAX_STEPS):
         # large star: larger neighbours of each node hang onto the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m"))
-        large = both.join(low, F.col("a") == F.col("n")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low.hint("merge"), F.col("a") == F.col("n")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: smaller neighbours and the node itself hang onto the smallest
         low2 = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        joined = large.join(low2, F.col("a") == F.col("n"))
+        joined = large.join(low2.hint("merge"), F.col("a") == F.col("n"))
         small = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        new = cut(small)
+        new = table(small)
+        drop_table(e)
         # settled: every node has one edge, and to a node that has none
         tops = new.select(F.col("b").alias("t")).distinct()
         nodes = new.select("a")
-        if new.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty() and nodes.join(tops, F.col("a") == F.col("t"), "left_semi").isEmpty():
+        if new.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty() and nodes.join(tops.hint("merge"), F.col("a") == F.col("t"), "left_semi").isEmpty():
             e = new
             break
         e = new

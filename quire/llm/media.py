@@ -164,7 +164,7 @@ def features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
     read = media.mapInArrow(run, "payload_sha256 string, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
-    return read.groupBy("payload_sha256").agg(*[F.min(c).alias(c) for c in names[1:]])
+    return table(read.groupBy("payload_sha256").agg(*[F.min(c).alias(c) for c in names[1:]]))  # so that Spark may split joins with it
 
 
 def resolve(sequences: DataFrame, found: DataFrame, elements: str = "elements") -> DataFrame:

@@ -11,12 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, numbered, table, words
+from quire.llm.common import cut, numbered, packed, table, words
 
 WEIGHTS, SHARE_PERCENT, MAX_RATE = (3, 1, 2), 150, 2
-NEWTON_STEPS, TOLERANCE = 40, 1e-6
-#: Documents of one cell that are put in order by one task.
-ROWS_A_SORT = 20_000
+NEWTON_STEPS, TOLERANCE = 60, 1e-6
 
 
 def _key(source: Column) -> Column:
@@ -52,10 +50,11 @@ def tilts(cells: DataFrame, wanted: DataFrame, max_rate: int = MAX_RATE, steps:
     """wanted with lam and scale: rate = min(max_rate, exp(lam * size / scale)).
 
     Newton steps on log tokens(lam) = log target, kept inside a bracket; each is one aggregation of the cells.
-    Sources at their limit need none: all their documents get max_rate.
+    Sources at their limit need none: all their documents get max_rate. A source that is not solved after all steps
+    is an error.
     """
     scale = cells.groupBy("key").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")), F.sum(F.col("n") * F.col("size"))).alias("scale"))
-    state = wanted.join(scale, "key").withColumns({"at_limit": F.col("target") >= max_rate * F.col("source_size").cast("double"), "lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
+    state = wanted.join(scale.hint("merge"), "key").withColumns({"at_limit": F.col("target") >= max_rate * F.col("source_size").cast("double"), "lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
     state = state.withColumn("done", F.col("at_limit") | (F.col("source_size") == 0) | (F.col("target") <= 0))
     state = cut(state)
     for _ in range(steps):
@@ -63,11 +62,11 @@ def tilts(cells: DataFrame, wanted: DataFrame, max_rate: int = MAX_RATE, steps:
         x = F.try_divide(F.col("size"), F.col("scale"))
         r = F.exp(F.col("lam") * x)
         tokens = F.col("n") * F.col("size")
-        got = cells.join(open_.select("key", "lam", "scale"), "key").groupBy("key").agg(
+        got = cells.join(open_.select("key", "lam", "scale").hint("merge"), "key").groupBy("key").agg(
             F.sum(tokens * F.least(r, F.lit(float(max_rate)))).alias("g"),
             F.sum(F.when(r < max_rate, tokens * x * r).otherwise(0.0)).alias("slope"),
         )
-        s = state.join(got, "key", "left")
+        s = state.join(got.hint("merge"), "key", "left")
         error = F.ln(F.col("target")) - F.ln(F.col("g"))
         lo = F.when(error > 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(error <= 0, F.col("lam")).otherwise(F.col("hi"))
@@ -80,6 +79,8 @@ def tilts(cells: DataFrame, wanted: DataFrame, max_rate: int = MAX_RATE, steps:
         state = cut(s.select("key", "source", "source_size", "target", "scale", "at_limit", F.when(keep, F.col("lam")).otherwise(new).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), keep.alias("done")))
         if state.where(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError("the dual did not converge for every source")
     return state.select("key", "source", "source_size", "target", "at_limit", "scale", F.round("lam", 9).alias("lam"))
 
 
@@ -114,21 +115,22 @@ def copies_by_cell(cells: DataFrame, tilted: DataFrame, max_rate: int = MAX_RATE
 
 def _dealt(docs: DataFrame, source_col: str, text_col: str, id_col: str, weights: tuple[int, ...], share_percent: int, max_rate: int) -> DataFrame:
     one, two = _row_keys(id_col, text_col)
-    base = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("bigint").alias("size"), one.alias("__h"), two.alias("__h2"))
+    base = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("source"), F.size(words(F.col(f"`{text_col}`"))).cast("bigint").alias("size"), one.alias("__h"), two.alias("__h2"))
     base = table(base.withColumn("key", _key(F.col("source"))))
     cells = table(base.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")))
     tilted = tilts(cells, targets(cells, weights, share_percent, max_rate), max_rate)
     dealt = copies_by_cell(cells, tilted, max_rate).join(tilted.select("key", "source_size", "target"), "key")
     dealt = dealt.select(F.col("key").alias("__k"), F.col("size").alias("__s"), "n", F.col("copies").alias("__c"), "source_size", "target")
     rows = base.join(dealt, (F.col("key") == F.col("__k")) & (F.col("size") == F.col("__s"))).drop("__k", "__s")
-    rows = numbered(rows, ["key", "size"], [F.col("__h"), F.col("__h2")], F.ceil(F.col("n") / ROWS_A_SORT), "__rank")
+    rows = numbered(rows, ["key", "size"], [F.col("__h"), F.col("__h2")], F.ceil(F.sqrt("n")), "__rank")
     got = F.floor(F.col("__c") / F.col("n")) + (F.col("__rank") < F.col("__c") % F.col("n")).cast("bigint")
     return rows.withColumn("copies", got.cast("bigint"))
 
 
 def _row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     """128 bits that tell rows of different id or text apart; nulls count as values."""
-    parts = [F.col(id_col).isNull(), F.col(id_col).cast("string"), F.col(text_col).isNull(), F.col(text_col)]
+    i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    parts = [i.isNull(), i.cast("string"), t.isNull(), t]
     return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)
 
 
@@ -148,13 +150,13 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     """The mixed corpus: each row of docs as often as copies() says, with the columns of docs.
 
     Texts move once, to meet their copies. Rows equal in id and text are of one cell, so their copies differ by one
-    at most; which of them gets the one more does not matter.
+    at most; which of them gets the one more does not matter. Nulls, empty texts and ties are as in copies(); columns
+    of any name pass through unchanged.
     """
-    columns = docs.columns
     rows = _dealt(docs, source_col, text_col, id_col, weights, share_percent, max_rate)
     each = rows.groupBy("__h", "__h2").agg(F.min("copies").alias("__low"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("__more")).where("__low > 0 or __more > 0")
     one, two = _row_keys(id_col, text_col)
-    met = docs.withColumns({"__h": one, "__h2": two}).join(each, ["__h", "__h2"])
+    met = docs.select(packed(docs), one.alias("__h"), two.alias("__h2")).join(each, ["__h", "__h2"])
     place = F.row_number().over(Window.partitionBy("__h", "__h2").orderBy("__h"))
-    met = met.withColumn("__n", F.col("__low") + (place <= F.col("__more")).cast("bigint")).where("__n > 0")
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    met = met.withColumn("n", F.col("__low") + (place <= F.col("__more")).cast("bigint")).where("n > 0")
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")

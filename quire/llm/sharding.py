@@ -8,12 +8,14 @@ newcomers, then unlinked ones. Those left over fill the shards that have room. Q
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import hash2, numbered, table
 
-SHARDS, ROUNDS, ROWS_A_SORT = 16, 3, 20_000
+SHARDS, ROUNDS, ROWS_A_SORT = 16, 4, 20_000
 
 
 def _uniform(*cols: Column) -> Column:
@@ -39,7 +41,9 @@ def _place(wishes: DataFrame, quotas: list[int], total: int) -> DataFrame:
     full = {r["want"]: r["n"] for r in ranked.where("__in").groupBy("want").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a shard
     room = [q - full.get(s, 0) for s, q in enumerate(quotas)]
     stay = ranked.where("__in").withColumn("shard", F.col("want"))
-    rest = numbered(ranked.where(~F.col("__in")).withColumn("__all", F.lit(0)), ["__all"], [F.col("row_hash"), F.col("row_hash2")], F.lit(max(1, total // ROWS_A_SORT)), "__r")
+    # those left over go on in the order of their links, so that a link's rows fill one shard's room before the next
+    slices = [~F.col("linked"), F.pmod(F.col("link"), F.lit(1024))]
+    rest = numbered(ranked.where(~F.col("__in")).withColumn("__all", F.lit(0)), ["__all"], [F.col("link"), F.col("row_hash"), F.col("row_hash2")], F.lit(math.isqrt(total // 1024) + 1), "__r", slices)
     moved = rest.withColumn("shard", _choose(room, F.col("__r")))
     names = [c for c in wishes.columns if c not in ("want", "rank_class")]
     out = table(stay.select(*names, "shard").unionByName(moved.select(*names, "shard")))
@@ -95,10 +99,10 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col
         F.xxhash64(*keys).alias("row_hash"), F.xxhash64(F.lit("second"), *keys).alias("row_hash2"),
     ))
     total = base.count()
-    groups = base.groupBy("link", "link2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("link").alias("__l"), F.col("link2").alias("__l2"), F.col("n").alias("copies"))
+    groups = table(base.groupBy("link", "link2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("link").alias("__l"), F.col("link2").alias("__l2"), F.col("n").alias("copies")))  # a table, so that Spark may split the join
     nodes = base.join(groups, (F.col("link") == F.col("__l")) & (F.col("link2") == F.col("__l2")), "left")
     nodes = nodes.withColumn("linked", F.col("copies").isNotNull()).withColumn("copies", F.coalesce("copies", F.lit(1)).cast("bigint")).drop("__l", "__l2", "link2")
     placed = propagate(nodes, total, n_shards, rounds)
-    parts = F.lit(max(1, total // (n_shards * ROWS_A_SORT)))
+    parts = F.lit(math.isqrt(total // n_shards) + 1)
     out = numbered(placed, ["shard"], [F.col("row_hash"), F.col("row_hash2")], parts, "slot")
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "copies")

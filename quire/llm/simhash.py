@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.llm.common import table
+from quire.llm.common import free_name, packed, slices, table
 from quire.llm.components import components
 
 SHINGLE, SEED, TAU = 4, 42, 4
@@ -49,13 +50,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shingle: int = SHINGLE) -> DataFrame:
-    """docs without the text and with the fingerprint as a signed bigint. No shuffle; a batch of texts at a time."""
+    """docs without the text and with the fingerprint as a signed bigint. No shuffle; a slice of texts at a time.
+
+    Null, empty and blank texts have 0; a column of the name `out` is kept, and the fingerprint gets the name with
+    underscores after it; repeated rows keep their rows, an empty table gives none.
+    """
     others = [c for c in docs.columns if c != text_col]
+    out = free_name(out, others)
     narrow = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), f"`{out}` bigint"])
+    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
             found = np.fromiter((fingerprint(v.as_py(), shingle) for v in batch.column(len(others))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*others, out])
 
@@ -238,28 +244,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that links reach; null ids belong to components but do not name them, unless no other does. Repeated rows keep
     their rows; an empty table gives none; other columns are not read.
     """
-    rows = table(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col))
+    rows = table(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text"))
     roots = group_fingerprints(rows, tau)
-    least = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    named = roots.join(least, "fp")
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    named = table(roots.join(least, "fp"))
+    names = table(named.groupBy("root").agg(F.min("least").alias("component_id")))  # a table, so that Spark may split the join
     by_fp = named.join(names, "root").select(F.col("fp").alias("__fp"), "component_id")
     out = rows.join(by_fp, F.col("fp") == F.col("__fp"))
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, shingle: int = SHINGLE) -> DataFrame:
     """docs with one row of each group of near-duplicates: the smallest id (null last), then the smallest hash of its text.
 
-    Texts move once, to meet the verdicts; rows equal in id and text are interchangeable and one of them stays.
+    Texts move once, to meet the verdicts; rows equal in id and text are interchangeable and one of them stays. Null,
+    empty and blank texts are one group; columns of any name pass through unchanged; an empty table gives no rows.
     """
-    columns = docs.columns
     keys = [F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`")]
     one, two = F.xxhash64(*keys), F.xxhash64(F.lit("second"), *keys)
     rows = table(fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), one.alias("h"), two.alias("h2"), F.col(f"`{text_col}`").alias("text")), "text", shingle=shingle))
     roots = group_fingerprints(rows, tau)
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "h2")).alias("first"))
-    winners = roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.h").alias("__h"), F.col("first.h2").alias("__h2"))
-    met = docs.withColumns({"__h": one, "__h2": two}).join(winners, ["__h", "__h2"], "left_semi")
-    single = met.withColumn("__n", F.row_number().over(Window.partitionBy("__h", "__h2").orderBy("__h"))).where("__n = 1")
-    return single.select(*[F.col(f"`{c}`") for c in columns])
+    winners = roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.h", "first.h2")
+    return one_of_each(docs, one, two, winners)
+
+
+def one_of_each(docs: DataFrame, one: Column, two: Column, winners: DataFrame) -> DataFrame:
+    """One row of docs for each pair of row keys in winners (h, h2), with the columns of docs."""
+    met = docs.select(packed(docs), one.alias("h"), two.alias("h2")).join(winners, ["h", "h2"], "left_semi")
+    single = met.withColumn("n", F.row_number().over(Window.partitionBy("h", "h2").orderBy("h"))).where("n = 1")
+    return single.select("row.*")
