@@ -11,6 +11,7 @@ verified links is kept, so a large group of near copies yields as many rows as i
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,14 @@ from quire.llm.common import free_name, packed, slices, table
 from quire.llm.components import components
 
 SHINGLE, SEED, TAU = 4, 42, 4
-PARTS = (3, 4, 5)
+PARTS = (1, 2, 3, 4, 5)
 #: What a candidate costs to verify, against what a key costs to shuffle and sort.
 CANDIDATE_COST = 0.1
 SMALL_GROUP = 48
+#: More fingerprints under one key are compared block by block, each two blocks in a group of their own.
+BLOCK = 1 << 13
+#: No fingerprint is put under more keys of one partition than this.
+MAX_KEYS = 5_000
 _SLICE = 1 << 16
 
 
@@ -130,8 +135,8 @@ def allocate(widths: list[int], shares: list[list[float]], n: int, tau: int) ->
     def cost(i: int, t: int) -> float:
         if t < 0:
             return 0.0
-        keys = len(list(itertools.combinations(range(widths[i]), t))) if t < 3 else float("inf")
-        return n * keys + CANDIDATE_COST * n * n / 2 * shares[i][t]
+        keys = math.comb(widths[i], t)
+        return max(n, 1) * keys + CANDIDATE_COST * n * n / 2 * shares[i][t] if keys <= MAX_KEYS else float("inf")
 
     best = {0: (0.0, [])}
     for i in range(len(widths)):
@@ -161,8 +166,11 @@ def plan(fps: DataFrame, tau: int = TAU) -> tuple[list[list[int]], list[int]]:
 
 def _pick(bits: list[int]):
     """The fingerprint with all other bits cleared."""
-    mask = sum(1 << b for b in bits)
-    return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+    return F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def forest(keys: np.ndarray, fps: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,30 +210,42 @@ def forest(keys: np.ndarray, fps: np.ndarray, tau: int) -> tuple[np.ndarray, np.
 def links(fps: DataFrame, tau: int = TAU) -> DataFrame:
     """Edges a, b over distinct fingerprints (column fp) whose components are those of all pairs within tau bits."""
     groups, thresholds = plan(fps, tau)
-    probes = []
-    for i, (bits, t) in enumerate(zip(groups, thresholds)):
-        if t >= 0:
-            for k, masked in enumerate(itertools.combinations(bits, t)):
-                probes.append(F.struct(F.lit(i * 4096 + k).alias("p"), _pick([b for b in bits if b not in masked]).alias("v")))
-    keyed = fps.select("fp", F.explode(F.array(*probes)).alias("x")).select("fp", "x.p", "x.v")
-    met = keyed.repartition(F.col("p"), F.col("v")).sortWithinPartitions("p", "v")
+    # one constant of all masks: an expression for each would be a plan of thousands of them
+    probes = [f"({i * 65536 + k},{_signed(sum(1 << b for b in bits if b not in masked))}L)" for i, (bits, t) in enumerate(zip(groups, thresholds)) if t >= 0 for k, masked in enumerate(itertools.combinations(bits, t))]
+    keyed = fps.select("fp", F.explode(F.expr(f"array({','.join('struct' + p for p in probes)})")).alias("x")).select("fp", F.col("x.col1").alias("p"), F.col("fp").bitwiseAND(F.col("x.col2")).alias("v"))
+    large = table(keyed.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK))
+    keyed = keyed.join(large, ["p", "v"], "left")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks.cast("bigint")).cast("int")
+    # a block meets itself and each other one
+    met = keyed.withColumns({"blocks": blocks, "own": own}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("fp", "p", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = met.repartition("p", "v", "i", "j").sortWithinPartitions("p", "v", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None and not batch.num_rows:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def joined() -> pa.RecordBatch:
+            a, b = forest(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]), tau)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if batch is not None:
-                k = np.stack([np.asarray(batch.column(1)).astype(np.int64), np.asarray(batch.column(2))], axis=1)
-                held_k, held_f = np.concatenate([held_k, k]), np.concatenate([held_f, np.asarray(batch.column(0)).view(np.uint64)])
-                if (held_k[0] == held_k[-1]).all():
-                    continue
-                last = np.flatnonzero((held_k != held_k[-1]).any(axis=1))[-1] + 1  # the last run may go on
-            else:
-                last = len(held_k)
-            a, b = forest(held_k[:last], held_f[:last], tau)
-            held_k, held_f = held_k[last:], held_f[last:]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            k = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in range(1, 5)], axis=1)
+            f = np.asarray(batch.column(0)).view(np.uint64)
+            if held and (held[-1][0][-1] != k[0]).any():
+                yield joined()
+                held.clear()
+            ends = np.flatnonzero((k != k[-1]).any(axis=1))  # the last run may go on
+            if len(ends):
+                held.append((k[: ends[-1] + 1], f[: ends[-1] + 1]))
+                yield joined()
+                held.clear()
+                k, f = k[ends[-1] + 1 :], f[ends[-1] + 1 :]
+            held.append((k, f))
+        if held:
+            yield joined()
 
     return met.mapInArrow(run, "a bigint, b bigint")
 
