@@ -31,7 +31,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,18 +92,27 @@ WITH d AS (
   FROM w LEFT JOIN r USING (rid) LEFT JOIN l USING (rid)
 ), f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b
+), marks AS (
+  SELECT rid, source, 'base' AS rule, base_failed AS hit FROM f UNION ALL
+  SELECT rid, source, 'short', n_words < 20 FROM f UNION ALL
+  SELECT rid, source, 'symbols', 10 * n_symbols > word_chars FROM f UNION ALL
+  SELECT rid, source, 'lines', 25 * n_dup_lines > n_words FROM f UNION ALL
+  SELECT rid, source, 'repeats', 10 * n_repeat_words > n_words FROM f
 ), hosts AS (
-  SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM f WHERE source IS NOT NULL GROUP BY source
+  SELECT source, rule, count(*) AS n, sum(CASE WHEN hit THEN 1 ELSE 0 END) AS k FROM marks WHERE source IS NOT NULL GROUP BY source, rule
 ), p AS (
-  SELECT sum(f) / sum(n) AS m, var_samp(f / n) AS v FROM hosts
+  SELECT rule, sum(k) / sum(n) AS m, var_samp(k / n) AS v FROM hosts GROUP BY rule
 ), q AS (
-  SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM p
+  SELECT rule, m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM p
 ), v AS (
-  SELECT source, (f + m * s) / (n + s) <= 0.5 AS host_kept FROM hosts, q
+  SELECT source, rule, round((k + m * s) / (n + s), 9) > CASE WHEN rule = 'base' THEN 0.5 ELSE round(m + sqrt(m * (1 - m) / (s + 1)), 9) END AS above
+  FROM hosts JOIN q USING (rule)
+), gone AS (
+  SELECT DISTINCT rid FROM marks JOIN v USING (source, rule) WHERE above AND (hit OR rule = 'base')
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(host_kept, true) AS kept
-FROM f LEFT JOIN v USING (source)
+  NOT base_failed AND rid NOT IN (SELECT rid FROM gone) AS kept
+FROM f
 """
 
 

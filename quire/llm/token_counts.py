@@ -8,105 +8,113 @@ whole text. The splice happens at such a boundary. If an overlap has none, it is
 
 from __future__ import annotations
 
-import base64
 import functools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
+from quire.llm.common import slices
+
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 12, 1 << 8
 #: A boundary is settled only if this many characters follow it in the left chunk, more than any special string has.
 MARGIN = 32
 
 
 @functools.cache
-def _load(json_path: str, ranks_path: str):
+def load(json_path: str):
+    """The tokenizer of a file; one whose special strings reach further than MARGIN is refused."""
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import json
-
-    import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(json_path)
     with open(json_path, encoding="utf-8") as f:
-        special = [x["content"] for x in json.load(f)["added_tokens"]]
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return tokenizer, fast, special
-
-
-def count_short(text: str, fast, special: list[str]) -> int:
-    """The rank file holds the same vocabulary; special strings are one token each, as the tokenizer's default has it."""
-    if not special:
-        return len(fast.encode_ordinary(text))
-    parts = text.split(special[0])
-    return len(parts) - 1 + sum(count_short(p, fast, special[1:]) for p in parts if p)
-
-
-def _bounds(tokenizer, text: str, at: int) -> dict[int, int]:
-    """Position in the whole text of each pre-token's start -> number of the chunk's tokens before it."""
-    enc = tokenizer.encode(text, add_special_tokens=False)
-    out, last = {}, None
-    for i, (word, (start, _)) in enumerate(zip(enc.word_ids, enc.offsets)):
-        if word is None or word != last:
-            out.setdefault(at + start, i)
-        last = word
-    out[at + len(text)] = len(enc)
-    return out
-
-
-def count_long(text: str, tokenizer, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
-    """Tokens of a text, from chunks of `chunk` characters that overlap by `overlap` or, where needed, more."""
-    total, begin, first = 0, 0, 0
-    left = _bounds(tokenizer, text[:chunk], 0)
+        added = json.load(f)["added_tokens"]
+    for x in added:
+        if len(x["content"]) >= MARGIN or any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"the added token {x['content']!r} may depend on text far from it: texts cannot be cut")
+    return Tokenizer.from_file(json_path)
+
+
+class _Chunk:
+    """The encoding of text[begin:end], and where its pre-tokens start."""
+
+    def __init__(self, tokenizer, text: str, begin: int, end: int) -> None:
+        code = tokenizer.encode(text[begin:end], add_special_tokens=False)
+        self.begin, self.n, self.words, self.offsets = begin, len(code), code.word_ids, code.offsets
+
+    def starts(self, low: int, high: int) -> dict[int, int]:
+        """Position in the text of each pre-token that starts from low to high -> number of the chunk's tokens before it."""
+        out: dict[int, int] = {}
+        i = bisect_left(self.offsets, low - self.begin, key=lambda o: o[0])
+        while i < self.n and (at := self.begin + self.offsets[i][0]) <= high:
+            if not i or self.words[i] is None or self.words[i] != self.words[i - 1]:
+                out.setdefault(at, i)
+            i += 1
+        return out
+
+
+def count_long(text: str, tokenizer, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[int, int]:
+    """Tokens of a text, from chunks of `chunk` characters that overlap by `overlap` or, where needed, more; and the number of splices."""
+    total = splices = begin = first = done = 0
     end = min(chunk, len(text))
+    left = _Chunk(tokenizer, text, begin, end)
     while end < len(text):
         width = overlap
         while True:
             start = max(end - width, begin)
             right_end = min(start + width + chunk, len(text))
-            right = _bounds(tokenizer, text[start:right_end], start)
+            right = _Chunk(tokenizer, text, start, right_end)
             # the right chunk's own start is a boundary only by accident; the left chunk proves or refutes it
-            common = [p for p in right if p in left and start <= p <= end - MARGIN and p > first]
+            low, high = max(start, first + 1), end - MARGIN
+            settled = left.starts(low, high)
+            common = settled.keys() & right.starts(low, high).keys()
             if common:
                 break
             if start == begin:  # the left chunk has no settled boundary: grow it instead
-                end = min(end + chunk, len(text))
-                left = _bounds(tokenizer, text[begin:end], begin)
+                end = min(2 * end - begin, len(text))
+                left = _Chunk(tokenizer, text, begin, end)
+                done = left.starts(first, first)[first]
                 if end == len(text):
-                    return total + left[end] - left[first]
+                    return total + left.n - done, splices
                 width = overlap
                 continue
             width *= 2
         cut = max(common)
-        total += left[cut] - left[first]
+        total += settled[cut] - done
+        splices += 1
         left, begin, first, end = right, start, cut, right_end
-    return total + left[end] - left[first]
+        done = left.starts(cut, cut)[cut]
+    return total + left.n - done, splices
 
 
-def token_counts(docs: DataFrame, json_path: str, ranks_path: str, limit: int = 1024, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows id, n_bytes, n_tokens, over_limit; one for each row of docs.
+def token_counts(docs: DataFrame, json_path: str, limit: int = 1024, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows id, n_bytes, n_tokens, over_limit, n_splices; one for each row of docs.
 
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids each keep their row; other columns
-    are not read. Memory is bounded by a chunk's encoding beside the text itself. No shuffle.
+    A text longer than a chunk is encoded in chunks; n_splices is where they were joined. Null and empty texts have 0
+    bytes and 0 tokens; repeated rows and null ids each keep their row; an empty table gives none; other columns are
+    not read. Memory is bounded by a chunk's encoding beside the text itself. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, fast, special = _load(json_path, ranks_path)
-        for batch in batches:
-            n_bytes, n_tokens = [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(count_short(text, fast, special) if len(text) <= chunk else count_long(text, tokenizer, chunk, overlap))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
-
-    narrow = docs.select(F.col(id_col), F.col(text_col))
+        tokenizer = load(json_path)
+        for batch in (s for b in batches for s in slices(b)):
+            texts = [v or "" for v in batch.column(1).to_pylist()]
+            short = [i for i, t in enumerate(texts) if len(t) <= chunk]
+            found: list[tuple[int, int]] = [(0, 0)] * len(texts)
+            for i, code in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
+                found[i] = len(code), 0
+            for i, t in enumerate(texts):
+                if len(t) > chunk:
+                    found[i] = count_long(t, tokenizer, chunk, overlap)
+            n_bytes = [len(t.encode()) for t in texts]
+            n_tokens, splices = [n for n, _ in found], [k for _, k in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(splices, pa.int64())], names=["id", "n_bytes", "n_tokens", "over_limit", "n_splices"])
+
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = narrow.schema[0].dataType.simpleString()
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return narrow.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, n_splices bigint").withColumnRenamed("id", id_col)
