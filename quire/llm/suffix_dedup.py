@@ -16,6 +16,7 @@ soon as its rank is unique:
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import slices, table
 
 LENGTH, ANCHOR = 200, 40
 #: Anchors with more extents than this are resolved by rows of single ranks, not in one task's memory.
 WIDE = 20_000
+#: Runs of one worker that are combined at a time, before the shuffle.
+RUNS = 1 << 18
 #: Starts of strings that are held as vectors at a time; a longer text is cut into overlapping segments.
 SEGMENT = 1 << 19
 
@@ -114,8 +117,9 @@ def _bytes(value: pa.Scalar) -> np.ndarray:
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of the texts: h, n_bytes, first, last, gram, extent."""
     names = ["h", "n_bytes", "first", "last", "gram", "extent"]
-    for batch in batches:
+    for batch in (s for b in batches for s in slices(b, 32 << 20)):
         keys = np.asarray(batch.column(0))
         texts = [(i, _bytes(v)) for i, v in enumerate(batch.column(1))]
         for places, data in _packed(texts):
@@ -128,6 +132,25 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
 
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs, RUNS at a time, with those of equal gram and extent combined: one of them, and c, how many they are."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(_find_runs(batches), [None]):
+        if batch is not None:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < RUNS:
+                continue
+        if not held:
+            return
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held = []
+        gram, extent = np.asarray(batch.column("gram")), np.asarray(batch.column("extent"))
+        order = np.lexsort((extent, gram))
+        new = np.flatnonzero(np.concatenate(([True], (gram[order][1:] != gram[order][:-1]) | (extent[order][1:] != extent[order][:-1])))) if len(order) else order
+        one = batch.take(pa.array(order[new]))
+        yield pa.RecordBatch.from_arrays([*one.columns, pa.array(np.diff(np.append(new, len(order))))], names=[*batch.schema.names, "c"])
+
+
 def _stretches(data: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Neighbouring runs i..j with the positions of their strings and the strings' ranks; runs come in order."""
     i = 0
@@ -154,15 +177,16 @@ def _marks(value) -> tuple[np.ndarray, ...]:
 
 
 def _open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rank, h, n_bytes, at, weight of each position of the open runs; a weight of 2 says that the position surely repeats."""
+    """gram, rank, h, n_bytes, at, weight of each position of the open runs; a weight of 2 says that the position surely repeats."""
     for batch in batches:
         out = []
         for h, n, value, marks in zip(np.asarray(batch.column("h")), np.asarray(batch.column("n_bytes")), batch.column("text"), batch.column("open")):
-            data, (firsts, lasts, _, weight) = _bytes(value), _marks(marks)
+            data, (firsts, lasts, gram, weight) = _bytes(value), _marks(marks)
             for i, j, spots, rank in _stretches(data, firsts, lasts):
-                out.append((rank.view(np.int64), np.full(len(spots), h), np.full(len(spots), n), spots, np.repeat(weight[i:j], lasts[i:j] - firsts[i:j] + 1)))
+                size = lasts[i:j] - firsts[i:j] + 1
+                out.append((np.repeat(gram[i:j], size), rank.view(np.int64), np.full(len(spots), h), np.full(len(spots), n), spots, np.repeat(weight[i:j], size)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["rank", "h", "n_bytes", "at", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["gram", "rank", "h", "n_bytes", "at", "weight"])
 
 
 def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,35 +287,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts count as empty; texts under 200 bytes lose nothing. A string that starts twice in one text repeats; so
     does one in a repeated row, whose copies get equal results. Null ids are kept; an empty table gives no rows; other
-    columns are not read. Equality is that of 64-bit ranks of the strings.
+    columns are not read. Equality is that of two 64-bit ranks: of a run's anchor and of its extent, or of a string's
+    anchor and of the string.
     """
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     n_bytes = F.coalesce(F.octet_length(t), F.lit(0)).cast("bigint")
     rows = docs.select(F.xxhash64(i.isNull(), i.cast("string"), t.isNull(), t).alias("h"), n_bytes.alias("n_bytes"), i.alias("id"), t.alias("text"))
     key = ["h", "n_bytes"]
-    found = rows.where(n_bytes >= LENGTH).select("h", "text").mapInArrow(_find_runs, "h bigint, n_bytes bigint, first bigint, last bigint, gram bigint, extent bigint")
-    found = found.select("h", F.col("n_bytes").cast("int"), F.col("first").cast("int"), F.col("last").cast("int"), "gram", "extent")
-    gram, same = Window.partitionBy("gram"), Window.partitionBy("gram", "extent")
-    ranked = found.withColumns({"g": F.count(F.lit(1)).over(gram), "lo": F.min("extent").over(gram), "hi": F.max("extent").over(gram)})
-    ranked = ranked.where("g > 1").withColumns({"c": F.count(F.lit(1)).over(same), "k": F.row_number().over(same.orderBy("h", "first"))})
-    # closed: the whole run repeats. A closed run still stands for its equals where its anchor has other extents.
-    ranked = ranked.withColumns({"open": F.col("c") == 1, "asks": (F.col("lo") != F.col("hi")) & (F.col("k") == 1)})
-    wide = F.sum(F.col("asks").cast("int")).over(gram) > WIDE
-    verdicts = table(ranked.select("h", F.col("n_bytes").cast("bigint"), "first", "last", F.when(F.col("asks"), F.col("gram")).alias("gram"), "open", "asks", wide.alias("wide")))
+    texts = rows.where(n_bytes >= LENGTH).select("h", "text")
+    kinds = "h bigint, n_bytes bigint, first bigint, last bigint, gram bigint, extent bigint"
+    narrow = ["h", *[F.col(c).cast("int").alias(c) for c in ("n_bytes", "first", "last")], "gram", "extent"]
+    counted = texts.mapInArrow(_count_runs, kinds + ", c bigint").select(*narrow, "c")
+    # dealt by gram alone, for all that follows; equal runs have met before, in their batches
+    same = counted.repartition("gram").groupBy("gram", "extent").agg(F.sum("c").alias("c"), *[F.first(c).alias(c) for c in ("h", "n_bytes", "first", "last")])
+    gram = Window.partitionBy("gram")
+    ranked = same.withColumns({"g": F.sum("c").over(gram), "extents": F.count(F.lit(1)).over(gram), "single": F.sum((F.col("c") == 1).cast("int")).over(gram)})
+    # closed: the whole run repeats. A closed run still stands for its equals where its anchor has open ones.
+    asks = (F.col("extents") > 1) & (F.col("single") > 0)
+    ranked = table(ranked.where("g > 1").select("h", F.col("n_bytes").cast("bigint"), "first", "last", "gram", "extent", (F.col("c") == 1).alias("open"), asks.alias("asks"), (asks & (F.col("extents") > WIDE)).alias("wide")))
+    verdicts = ranked.where("asks")
+    # all the runs once more, for those that repeat: cheaper than keeping them
+    again = texts.mapInArrow(_find_runs, kinds).select(*narrow)
+    closed = again.join(ranked.where("not open").select("gram", "extent"), ["gram", "extent"], "left_semi").select("h", F.col("n_bytes").cast("bigint"), "first", "last", F.lit(False).alias("open"))
 
     def asking(which: str) -> DataFrame:
-        asks = verdicts.where(f"asks and {which}").groupBy(key).agg(F.collect_list(F.struct("first", "last", "gram", F.when(F.col("open"), 1).otherwise(2).alias("weight"))).alias("open"))
+        asks = verdicts.where(which).groupBy(key).agg(F.collect_list(F.struct("first", "last", "gram", F.when(F.col("open"), 1).otherwise(2).alias("weight"))).alias("open"))
         # all columns of rows, so that every join with the texts reads the same shuffle
         return rows.join(asks, key).select(*rows.columns, "open")
 
     runs_ = asking("not wide").mapInArrow(_open_runs, "gram bigint, h bigint, n_bytes bigint, first bigint, weight bigint, bytes binary")
     alone = runs_.repartition("gram").sortWithinPartitions("gram").mapInArrow(_alone_by_gram, "h bigint, n_bytes bigint, at bigint")
     if not verdicts.where("wide").isEmpty():
-        strings = asking("wide").mapInArrow(_open_strings, "rank bigint, h bigint, n_bytes bigint, at bigint, weight bigint")
-        single = strings.groupBy("rank").agg(F.sum("weight").alias("n"), *[F.min(c).alias(c) for c in ("h", "n_bytes", "at")]).where("n = 1")
+        strings = asking("wide").mapInArrow(_open_strings, "gram bigint, rank bigint, h bigint, n_bytes bigint, at bigint, weight bigint")
+        single = strings.groupBy("gram", "rank").agg(F.sum("weight").alias("n"), *[F.min(c).alias(c) for c in ("h", "n_bytes", "at")]).where("n = 1")
         alone = alone.unionByName(single.select("h", "n_bytes", "at"))
     alone = alone.groupBy(key).agg(F.collect_list(F.col("at").cast("int")).alias("alone"))
-    per_text = verdicts.where("open = false or asks").groupBy(key).agg(F.collect_list(F.struct("first", "last", "open")).alias("found"))
+    per_text = closed.unionByName(verdicts.where("open").select(*closed.columns)).groupBy(key).agg(F.collect_list(F.struct("first", "last", "open")).alias("found"))
     met = rows.join(per_text, key, "left").join(alone, key, "left").select("id", "text", "found", "alone")
     kind = rows.schema["id"].dataType.simpleString()
     return met.mapInArrow(_cut_out, f"id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary").withColumnRenamed("id", id_col)
