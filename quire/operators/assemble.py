@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import clean_text, file_stem, js_trim, uri_decode
-from quire.operators.filters import with_reason
+from quire.operators.filters import once, with_reason
 
 #: Runs of text whose y differ by less are on one line.
 LINE_TOLERANCE = 0.1
@@ -63,10 +63,20 @@ def raw_text_sections(raw: DataFrame, sections: DataFrame) -> DataFrame:
 def page_text(runs: Column) -> Column:
     """Text of a page's positioned runs in reading order: by line, then from left to right, each followed by a space.
 
-    Lines are y rounded to the tolerance; runs at one place keep their order.
+    Down the page, a run starts a new line if its y is the tolerance or more below the run before it; runs at one place
+    keep their order. So runs that are closer than the tolerance are always read from left to right.
     """
-    placed = F.transform(runs, lambda r, i: F.struct(F.round(r["y"] / LINE_TOLERANCE).alias("line"), r["x"].alias("x"), i.alias("i"), r["R"].alias("R")))
-    parts = F.flatten(F.transform(F.array_sort(placed), lambda r: F.transform(r["R"], lambda t: F.concat(uri_decode(t["T"]), F.lit(" ")))))
+    kind = "struct<line:int,x:double,i:int,R:array<struct<T:string>>>"
+    down = F.array_sort(F.transform(runs, lambda r, i: F.struct(r["y"].alias("y"), r["x"].alias("x"), i.alias("i"), r["R"].alias("R"))))
+    start = F.struct(F.lit(0).alias("line"), F.lit(None).cast("double").alias("y"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def place(a: Column, r: Column) -> Column:
+        line = a["line"] + F.coalesce((r["y"] - a["y"] >= LINE_TOLERANCE).cast("int"), F.lit(0))
+        one = F.struct(line.alias("line"), r["x"].alias("x"), r["i"].alias("i"), r["R"].alias("R"))
+        return F.struct(line.alias("line"), r["y"].alias("y"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    placed = F.array_sort(F.aggregate(down, start, place, lambda a: a["out"]))
+    parts = F.flatten(F.transform(placed, lambda r: F.transform(r["R"], lambda t: F.concat(uri_decode(t["T"]), F.lit(" ")))))
     return F.array_join(parts, "")
 
 
@@ -87,7 +97,7 @@ def reindex(sections: DataFrame, order: str = "index") -> DataFrame:
 
 def chapters_to_sections(chapters: DataFrame, **options) -> DataFrame:
     """Kept chapters (book_id, ord, title, text), numbered from 1; original_chapter_index keeps their place."""
-    kept = with_reason(chapters, **options).where("filter_reason is null")
+    kept = with_reason(once(chapters, "text"), **options).where("filter_reason is null")
     n = F.row_number().over(Window.partitionBy("book_id").orderBy("ord"))
     return kept.select("book_id", n.alias("index"), "title", "text", F.col("ord").alias("original_chapter_index"))
 

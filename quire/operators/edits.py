@@ -10,12 +10,29 @@ from quire.operators.assemble import reindex
 MAX_UNDO = 10
 
 
-def delete_section(sections: DataFrame, index: int, book_id: str | None = None) -> DataFrame:
-    """Sections without all those of that index (in one book, or in each), numbered anew."""
-    hit = (F.col("index") == index) & (F.lit(True) if book_id is None else F.col("book_id") == book_id)
+def delete_section(sections: DataFrame, index: int, book_id: str | None = None, strict: bool = False) -> DataFrame:
+    """Sections without all those of that index (in one book, or in each), numbered anew.
+
+    strict: a book that lacks the index is an error when its rows are reached; so is a table that is no section table.
+    """
+    if not {"book_id", "index"} <= set(sections.columns):
+        raise ValueError("Invalid JSON data structure")
+    asked = F.lit(True) if book_id is None else F.col("book_id") == book_id
+    hit = F.coalesce(F.col("index") == index, F.lit(False)) & asked
+    if strict:
+        has = F.max(hit).over(Window.partitionBy("book_id"))
+        fault = F.raise_error(F.lit(f"Section with index {index} not found")).cast("boolean")
+        sections = sections.withColumn("__hit", hit).withColumn("__has", F.when(asked & ~has, fault).otherwise(True))
+        return reindex(sections.where("__has and not __hit").drop("__hit", "__has"))
     return reindex(sections.where(~hit))
 
 
+def undo_summary(stack: Column) -> Column:
+    """Title and time of the last deletion and how many can be taken back; null for an empty stack. Items have title and timestamp."""
+    last = top(stack)
+    return F.when(can_undo(stack), F.struct(last["title"].alias("section_title"), last["timestamp"].alias("timestamp"), F.size(stack).alias("count")))
+
+
 def deleted(sections: DataFrame, index: int, timestamp_ms: int, book_id: str | None = None) -> DataFrame:
     """What undo needs: the first section of that index, its place from 0 in the book, and the time."""
     place = F.row_number().over(Window.partitionBy("book_id").orderBy("index")) - 1

@@ -71,6 +71,11 @@ def reason(number: Column, title: Column, text: Column, start: Column | int | No
     return F.coalesce(*parts)
 
 
+def once(df: DataFrame, column: str) -> DataFrame:
+    """df with the column as a generated one, so that a filter on it is not pushed below and does not compute it again for each use."""
+    return df.select(*[c for c in df.columns if c != column], F.explode(F.array(column)).alias(column)).select(*df.columns)
+
+
 def with_reason(chapters: DataFrame, **options) -> DataFrame:
     """chapters (ord, title, text) with filter_reason."""
     return chapters.withColumn("filter_reason", reason(F.col("ord"), F.col("title"), F.col("text"), **options))

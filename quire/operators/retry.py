@@ -11,7 +11,8 @@ from email.utils import parsedate_to_datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Statuses and network codes that say "try again later", and the limits of waiting, in ms.
+# Statuses, network codes and error names that say "try again later", the limits of waiting in ms, and the
+# pattern of a delay that a message asks for.
 TRANSIENT_STATUSES = [429, 500, 502, 503, 504]
 TRANSIENT_CODES = [
     "ECONNRESET", "ECONNREFUSED", "ETIMEDOUT", "EPIPE", "EAI_AGAIN", "ENETUNREACH", "UND_ERR_SOCKET",
@@ -86,6 +87,13 @@ def transient(error: BaseException) -> bool:
     return any(getattr(e, "code", None) in TRANSIENT_CODES or isinstance(e, TimeoutError) for e in _chain(error))
 
 
+def reason(error: BaseException) -> str:
+    """Why a call failed, in short: a status, else a code, else the start of the message."""
+    status = next((s for e in _chain(error) if isinstance(s := getattr(e, "status", None), int)), None)
+    code = next((c for e in _chain(error) if isinstance(c := getattr(e, "code", None), str)), None)
+    return str(status) if status is not None else code or (str(error) or "unknown error")[:60]
+
+
 def server_delay_ms(error: BaseException, now: Callable[[], float] = time.time) -> float | None:
     header = getattr(error, "retry_after", None)
     if header is not None:
@@ -113,6 +121,6 @@ def with_retry(call: Callable, attempts: int = ATTEMPTS, base_ms: int = BASE_MS,
                 raise
             backoff = min(max_ms, base_ms * 2 ** (attempt - 1))
             wait = asked if asked is not None else int(backoff / 2 + random() * backoff / 2 + 0.5)
-            log(f"{label}: retrying in {wait / 1000:.1f}s (attempt {attempt + 1}/{attempts})")
+            log(f"{label}: {reason(error)}, retrying in {wait / 1000:.1f}s (attempt {attempt + 1}/{attempts})")
             sleep(wait)
     raise AssertionError

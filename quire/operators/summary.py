@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions import fmt
 from quire.functions.text import js_trim, utf16_len
 
-#: Pages that a range covers are grouped in blocks of so many, so that overlaps meet in an equal join.
-BLOCK = 64
+#: Ranges of up to so many pages meet in blocks of as many; each level of longer ranges has blocks STEP times as long.
+BLOCK, STEP = 64, 8
 
 
 def parse_page_range(c: Column) -> Column:
@@ -31,16 +31,34 @@ def overlap_label(start: Column, end: Column) -> Column:
 def page_overlaps(sections: DataFrame) -> DataFrame:
     """Every two sections of a book whose page ranges share pages, once, in order.
 
-    Ranges meet in blocks of pages; a pair is reported in the first block that both reach. Backwards ranges can only
-    share pages with none.
+    Order is by `ord` if there is such a column, else by index, then by range: sections of one index are told apart by
+    their place. A range lies in the blocks of its own level, at most two, and looks into those of longer levels, as
+    far as its book has any; so a range of any length makes few rows. Of two blocks that both ranges reach, the
+    first reports. Backwards ranges share pages with none.
     """
-    r = sections.withColumn("r", parse_page_range(F.col("page_range"))).where("r is not null and r.start <= r.end")
-    r = r.select("book_id", F.col("index").alias("ord"), section_title(F.col("title"), F.col("index")).alias("title"), "page_range", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
-    blocks = r.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
-    a, b = blocks.alias("a"), blocks.alias("b")
+    r = sections.withColumn("r", parse_page_range(F.col("page_range")))
+    order = ["ord"] if "ord" in sections.columns else ["index", "r.start", "r.end", "title"]
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy(*order))).where("r is not null and r.start <= r.end")
+    r = r.select("book_id", "place", "index", section_title(F.col("title"), F.col("index")).alias("title"), "page_range", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    size = F.greatest(F.col("end") - F.col("start") + 1, F.lit(BLOCK))
+    level = F.ceil(F.round(F.log(size / BLOCK) / F.log(F.lit(float(STEP))), 9)).cast("int")
+    r = r.withColumn("level", level)
+    most = r.groupBy("book_id").agg(F.max("level").alias("most"))
+    width = lambda x: (BLOCK * F.pow(F.lit(float(STEP)), x)).cast("bigint")
+    covers = F.sequence(F.floor(F.col("start") / width(F.col("at"))), F.floor(F.col("end") / width(F.col("at"))))
+    every = r.join(most, "book_id").withColumn("at", F.explode(F.sequence("level", "most"))).withColumn("block", F.explode(covers)).drop("most")
+    a, b = every.where("level = at").alias("a"), every.alias("b")
     start, end = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
-    met = a.join(b, (F.col("a.book_id") == F.col("b.book_id")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.ord") < F.col("b.ord")) & (start <= end) & (F.col("a.block") == F.floor(start / BLOCK)))
-    return met.select(F.col("a.book_id").alias("book_id"), F.col("a.ord").alias("left_index"), F.col("b.ord").alias("right_index"), F.col("a.title").alias("left_title"), F.col("a.page_range").alias("left_range"), F.col("b.title").alias("right_title"), F.col("b.page_range").alias("right_range"), start.alias("overlap_start"), end.alias("overlap_end"), overlap_label(start, end).alias("label"))
+    met = a.join(b, (F.col("a.book_id") == F.col("b.book_id")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.block") == F.col("b.block")))
+    met = met.where((F.col("a.place") < F.col("b.place")) | (F.col("b.level") < F.col("a.level"))).where(F.col("a.place") != F.col("b.place"))
+    met = met.where((start <= end) & (F.col("a.block") == F.floor(start / width(F.col("a.at")))))
+    first = F.col("a.place") < F.col("b.place")
+    side = lambda c, left: F.when(first == F.lit(left), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+    return met.select(
+        F.col("a.book_id").alias("book_id"), side("index", True).alias("left_index"), side("index", False).alias("right_index"),
+        side("title", True).alias("left_title"), side("page_range", True).alias("left_range"), side("title", False).alias("right_title"), side("page_range", False).alias("right_range"),
+        start.alias("overlap_start"), end.alias("overlap_end"), overlap_label(start, end).alias("label"),
+    )
 
 
 def section_line(sections: DataFrame) -> DataFrame:

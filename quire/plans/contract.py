@@ -86,9 +86,9 @@ chapters AS (
 
 def host_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host, in the order of page_id, as a book's chapters of clean text."""
-    pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("book_id"), "page_id", F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), "html")
+    pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("book_id"), "page_id", F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), T.clean_html(F.col("html")).alias("text"))
     n = F.row_number().over(Window.partitionBy("book_id").orderBy("page_id"))
-    return pages.withColumn("ord", n).select("book_id", "ord", "title", T.clean_html(F.col("html")).alias("text"))
+    return pages.withColumn("ord", n).select("book_id", "ord", "title", "text")
 
 
 def cascade() -> dict:
@@ -130,7 +130,7 @@ def t17_url_extension(spark, d):
     return read(spark, d, "pages").select("page_id", T.url_extension(F.col("url")).alias("extension"), T.env_var(F.lit("gemini")).alias("env"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars * 997 < 1048576 THEN format('{:.1f} KB', n_chars * 997 / 1024.0) ELSE format('{:.2f} MB', n_chars * 997 / 1048576.0) END AS size FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars * 997 < 1048576 THEN format('{:.1f} KB', floor(n_chars * 997 / 1024.0 * 10 + 0.5) / 10) ELSE format('{:.2f} MB', floor(n_chars * 997 / 1048576.0 * 100 + 0.5) / 100) END AS size FROM documents")
 def n1_file_size(spark, d):
     return read(spark, d, "documents").select("doc_id", fmt.file_size(F.col("n_chars") * 997).alias("size"))
 
@@ -141,10 +141,14 @@ def n2_groups(spark, d):
     return read(spark, d, "documents").select("doc_id", fmt.number_groups(n).alias("spaced"), fmt.count(n).alias("counted"), fmt.chapter_label(F.col("doc_id") % 1000, F.lit(1000)).alias("label"))
 
 
-@query("SELECT event_id, format('{:.2f}s', round(value * 1000) / 1000.0) AS duration, lpad(CAST(CAST(floor(floor(round(value * 1000) / 1000.0 + 0.5) / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(round(value * 1000) / 1000.0 + 0.5) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM events WHERE value BETWEEN 0 AND 5000")
+# real ties of the decimal form, at multiples of 125 ms, go up; all others go by the double
+_MS = "SELECT event_id, CAST(round(value * 1000) AS BIGINT) + event_id % 1000 AS ms FROM events"
+
+
+@query(f"SELECT event_id, format('{{:.2f}}s', CASE WHEN ms % 125 = 0 THEN floor(ms / 10 + 0.5) / 100 ELSE ms / 1000.0::DOUBLE END) AS duration, lpad(CAST(s // 60 AS VARCHAR), CAST(greatest(2, length(CAST(s // 60 AS VARCHAR))) AS INTEGER), '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT *, CAST(floor(ms / 1000.0::DOUBLE + 0.5) AS BIGINT) AS s FROM ({_MS}))")
 def n4_duration(spark, d):
-    ms = F.round(F.col("value") * 1000)
-    return read(spark, d, "events").where("value BETWEEN 0 AND 5000").select("event_id", fmt.duration(ms).alias("duration"), fmt.clock(ms).alias("clock"))
+    ms = F.round(F.col("value") * 1000) + F.col("event_id") % 1000
+    return read(spark, d, "events").select("event_id", fmt.duration(ms).alias("duration"), fmt.clock(ms).alias("clock"))
 
 
 @query(f"SELECT page_id, {_rules_sql(_TITLE)} AS reason FROM pages")
@@ -242,9 +246,16 @@ def _source_sections(spark, d):
     return docs.select(F.col("source").alias("book_id"), n.alias("index"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat("lang", F.lit(" "), F.col("doc_id").cast("string"))).alias("title"), "text")
 
 
-@query(f"WITH {_SECTIONS} SELECT book_id, trim(string_agg(CASE WHEN title <> '' THEN index || '. ' || title ELSE 'Section ' || index END || CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || text END, chr(10) || chr(10) ORDER BY index), E' \\n\\t\\r') AS plain FROM s GROUP BY book_id")
+_SHELF = "s AS (SELECT source || '/' || (doc_id // 100) AS book_id, row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS index, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang || ' ' || doc_id END AS title, text FROM documents)"
+
+
+@query(f"WITH {_SHELF} SELECT book_id, trim(string_agg(CASE WHEN title <> '' THEN index || '. ' || title ELSE 'Section ' || index END || CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || text END, chr(10) || chr(10) ORDER BY index), E' \\n\\t\\r') AS plain FROM s GROUP BY book_id")
 def a7_plain_text(spark, d):
-    return assemble.plain_text(_source_sections(spark, d))
+    """A book is what a source has among a hundred ids, so that its text stays a book in size."""
+    docs = read(spark, d, "documents").withColumn("book_id", F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string")))
+    n = F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))
+    s = docs.select("book_id", n.alias("index"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat("lang", F.lit(" "), F.col("doc_id").cast("string"))).alias("title"), "text")
+    return assemble.plain_text(s)
 
 
 def _quoted(x: str | None) -> str:
@@ -289,12 +300,14 @@ def f15_validate(spark, d):
     return out.withColumn("position", F.col("position").cast("bigint"))
 
 
-_DUP = "c AS (SELECT source AS book_id, lang AS section, doc_id AS card_ord, trim(split_part(coalesce(text, ''), chr(10), 1)) AS heading FROM documents)"
+_DUP = "c AS (SELECT doc_id AS book_id, lang AS section, no AS card_ord, trim(line) AS heading FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents))"
 
 
 @query(f"WITH {_DUP} SELECT book_id, heading, card_ord FROM (SELECT *, row_number() OVER (PARTITION BY book_id, section, heading ORDER BY card_ord) AS n FROM c WHERE heading <> '') WHERE n > 1")
 def w4_duplicates(spark, d):
-    c = read(spark, d, "documents").select(F.col("source").alias("book_id"), F.col("lang").alias("section_index"), F.col("doc_id").alias("card_ord"), F.trim(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))).alias("heading_text"))
+    """Every line of a document is a card front of its deck."""
+    lines = read(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    c = lines.select(F.col("doc_id").alias("book_id"), F.col("lang").alias("section_index"), (F.col("no") + 1).cast("bigint").alias("card_ord"), F.trim("line").alias("heading_text"))
     return cards.duplicate_fronts(c).select("book_id", F.col("heading_text").alias("heading"), "card_ord")
 
 
@@ -312,7 +325,12 @@ def m2_undo(spark, d):
 
 @query("SELECT source, least(n, 3) AS size, CASE WHEN n > 0 THEN ids[n] END AS top, CASE WHEN n > 1 THEN ids[n - 1] END AS under FROM (SELECT source, list(doc_id ORDER BY doc_id) AS ids, count(*) AS n FROM documents GROUP BY source)")
 def o3_undo_stack(spark, d):
-    ids = read(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    docs = read(spark, d, "documents").select("source", "doc_id")
+    # a stack keeps its last three: each part of a source gives its largest, then the parts are put together
+    of = lambda *by: Window.partitionBy(*by).orderBy(F.col("doc_id").desc())
+    part = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+    last = part.withColumn("n", F.row_number().over(of("source", "part"))).where("n <= 3").withColumn("n", F.row_number().over(of("source"))).where("n <= 3")
+    ids = last.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     stack = F.aggregate("ids", F.array().cast("array<bigint>"), lambda a, x: edits.push(a, x, 3))
     s = ids.select("source", stack.alias("stack"))
     return s.select("source", F.size("stack").cast("bigint").alias("size"), edits.top(F.col("stack")).alias("top"), edits.top(edits.pop(F.col("stack"))).alias("under"))
@@ -350,7 +368,7 @@ def n8_retry_after(spark, d):
 def _answers(spark, d):
     """A Markdown answer for each turn, good and bad forms in turn."""
     k = F.col("conv_id") % 5
-    line = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))  # the whole text as one bullet
     markdown = (
         F.when(k == 0, F.concat(F.lit("## Front\n\n- "), line))
         .when(k == 1, F.concat(F.lit("## Front\n\n"), F.regexp_replace(line, "[-*+#]", "")))
@@ -368,8 +386,12 @@ def g4_policy(spark, d):
 
 
 def queries() -> dict:
+    from quire.plans import more  # noqa: F401  its queries register themselves
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quire.plans import more  # noqa: F401
+
     return dict(_sql)
