@@ -48,23 +48,29 @@ def epub(spark: SparkSession, path: str, start=None, end=None, exclude: str | No
     return Converted(metadata, sections, assemble.plain_text(sections), marked.select("book_id", "ord", "title", "filter_reason", "error"))
 
 
-def pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None]], index_path: str | None = None, index_ranges: str | None = None, min_chars: int | None = None) -> Converted:
-    """PDF files through an extractor of page texts; the index is resolved and checked before a file is read."""
+def pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None] | dict], index_path: str | None = None, index_ranges: str | None = None, min_chars: int | None = None) -> Converted:
+    """PDF files through an extractor of page texts and facts; the index is resolved and checked before a file is read.
+
+    A file whose pages give no section gives its raw text, if the extractor has one.
+    """
     entries = selectors.resolve_index(index_path, index_ranges)
     pages = books.read_pdf(spark, path, extract)
-    totals = pages.groupBy("book_id").agg(F.max("page_no").alias("total_pages"))
-    names = totals.select("book_id", F.regexp_extract("book_id", r"([^/]+)$", 1).alias("file_name"))
+    files = books.read_pdf_info(spark, path, extract)
+    totals = files.select("book_id", F.col("total").alias("total_pages"))
+    names = files.select("book_id", "file_name")
     if entries:
-        one = selectors.ranges_table(spark, entries).drop("book_id")
-        ranges = totals.select("book_id").crossJoin(F.broadcast(one))  # the entries of one index, for every book
+        # the entries of one index, for every book
+        one = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(e["start"]).alias("start"), F.lit(e["end"]).alias("end"), F.lit(e.get("title")).cast("string").alias("title")) for i, e in enumerate(entries, 1)])
+        ranges = totals.select("book_id", F.explode(one).alias("x")).select("book_id", "x.*")
         sections = assemble.by_index(pages, ranges, totals)
         claimed = assemble.index_pages(ranges).withColumnRenamed("pages", "index_pages")
     else:
         sections, claimed = assemble.whole_book(pages, names), None
+    raw = assemble.raw_text_sections(files, sections)
+    sections = sections.unionByName(raw, allowMissingColumns=True)
     extracted = sections.groupBy("book_id").agg(F.count(F.lit(1)).alias("extracted"))
     sections = filters.min_chars(assemble.clean_sections(sections), min_chars)
-    none = F.lit(None).cast("string")
-    found = totals.join(names, "book_id").join(extracted, "book_id", "left").withColumns({"extracted": F.coalesce("extracted", F.lit(0)), "info": F.create_map(F.lit("Title"), none), "meta_title": none, "meta_author": none, "version": none, "index_size": F.lit(len(entries) if entries else None).cast("int")})
+    found = files.drop("raw_text").join(extracted, "book_id", "left").withColumns({"extracted": F.coalesce("extracted", F.lit(0)), "index_size": F.lit(len(entries) if entries else None).cast("int")})
     found = found.join(claimed, "book_id", "left") if claimed is not None else found.withColumn("index_pages", F.lit(None).cast("bigint"))
-    metadata = meta.pdf_metadata(found.withColumnRenamed("total_pages", "total"))
+    metadata = meta.pdf_metadata(found)
     return Converted(metadata, sections.drop("dropped"), assemble.plain_text(sections))

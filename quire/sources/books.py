@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
 import posixpath
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
@@ -17,14 +19,29 @@ from quire.functions.schema import BOOK, PAGES, RAW_CHAPTERS
 from quire.functions.text import clean_html, js_trim
 from quire.operators.cards import issue_table
 from quire.operators.selectors import section_number
+from quire.operators.validate import check_book
 
 
-def read_book_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_book_json(spark: SparkSession, path: str, require_metadata: bool = False, require_titles: bool = False) -> tuple[DataFrame, DataFrame]:
     """books (book_id, metadata) and sections from book JSON files; nothing is cleaned or filtered.
 
-    book_id is the file's path. Metadata and titles may be absent; index is read as a number of any kind.
+    book_id is the file's path. Metadata and titles may be absent; index is read as a number of any kind. A file that
+    is no JSON, or whose shape is wrong, is an error when it is reached.
     """
-    raw = spark.read.schema(BOOK).option("multiLine", True).json(path).withColumn("book_id", F.input_file_name())
+
+    def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for text in f["value"]:
+                try:
+                    fault = check_book(json.loads(text), require_metadata=require_metadata, require_titles=require_titles)
+                except ValueError as e:
+                    fault = str(e)
+                if fault:
+                    raise ValueError(f"Invalid JSON input: {fault}")
+            yield f
+
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("book_id"), "value")
+    raw = files.mapInPandas(checked, "book_id string, value string").select("book_id", F.from_json("value", BOOK).alias("b")).select("book_id", "b.*")
     sections = raw.select("book_id", F.posexplode("content").alias("pos", "s")).select("book_id", (F.col("pos") + 1).alias("ord"), F.col("s.index").alias("index"), "s.title", "s.text", F.col("s.pageRange").alias("page_range"), F.col("s.pageCount").alias("page_count"))
     return raw.select("book_id", "metadata"), sections
 
@@ -33,8 +50,11 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def epub_parts(data: bytes) -> tuple[dict, list[tuple[int, str | None, str | None, str | None]]]:
-    """Metadata and (ord, title, html, error) of each spine item; a broken chapter has an error and no text."""
+def epub_parts(data: bytes, wanted: Callable[[int], bool] = lambda n: True) -> tuple[dict, list[tuple[int, str | None, str | None, str | None]]]:
+    """Metadata and (ord, title, html, error) of each spine item; a broken chapter has an error and no text.
+
+    Chapters that are not wanted are listed, but not read.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         container = ElementTree.fromstring(z.read("META-INF/container.xml"))
         opf_path = next(e.get("full-path") for e in container.iter() if _local(e.tag) == "rootfile")
@@ -53,28 +73,40 @@ def epub_parts(data: bytes) -> tuple[dict, list[tuple[int, str | None, str | Non
         for n, ref in enumerate((e for e in opf.iter() if _local(e.tag) == "itemref"), 1):
             item = items.get(ref.get("idref"))
             href = unquote(item.get("href", "")) if item is not None else ""
-            try:
-                out.append((n, titles.get(href), z.read(posixpath.normpath(posixpath.join(base, href))).decode("utf-8", "replace"), None))
-            except KeyError as e:
-                out.append((n, titles.get(href), None, str(e)))
+            href, html, error = posixpath.normpath(href), None, None
+            if wanted(n):
+                try:
+                    html = z.read(posixpath.normpath(posixpath.join(base, href))).decode("utf-8", "replace")
+                except Exception as e:  # whatever is wrong with one chapter leaves the others readable
+                    error = str(e) or type(e).__name__
+            out.append((n, titles.get(href), html, error))
         return meta, out
 
 
 def _toc_titles(z: zipfile.ZipFile, base: str, items: dict) -> dict[str, str]:
-    """Chapter titles by file, from the NCX table of contents."""
-    ncx = next((e for e in items.values() if e.get("media-type") == "application/x-dtbncx+xml"), None)
-    if ncx is None:
-        return {}
-    try:
-        root = ElementTree.fromstring(z.read(posixpath.normpath(posixpath.join(base, ncx.get("href", "")))))
-    except (KeyError, ElementTree.ParseError):
-        return {}
+    """Chapter titles by file, from the NCX table of contents and, for files it leaves out, the navigation document."""
     out: dict[str, str] = {}
-    for point in (e for e in root.iter() if _local(e.tag) == "navPoint"):
-        label = next((e.text for e in point.iter() if _local(e.tag) == "text"), None)
-        src = next((e.get("src") for e in point.iter() if _local(e.tag) == "content"), None)
-        if label and src:
-            out.setdefault(unquote(src.split("#")[0]), label)
+
+    def root(item):
+        try:
+            return ElementTree.fromstring(z.read(posixpath.normpath(posixpath.join(base, item.get("href", "")))))
+        except (KeyError, ElementTree.ParseError):
+            return ()
+
+    def add(folder: str, src: str | None, label: str | None) -> None:
+        if label and label.strip() and src:
+            out.setdefault(posixpath.normpath(posixpath.join(folder, unquote(src.split("#")[0]))), label)
+
+    for item in items.values():
+        if item.get("media-type") == "application/x-dtbncx+xml":
+            for point in (e for e in root(item) and root(item).iter() if _local(e.tag) == "navPoint"):
+                add("", next((e.get("src") for e in point.iter() if _local(e.tag) == "content"), None), next((e.text for e in point.iter() if _local(e.tag) == "text"), None))
+    for item in items.values():
+        if "nav" in item.get("properties", "").split():
+            folder = posixpath.dirname(item.get("href", ""))
+            for nav in (e for e in root(item) and root(item).iter() if _local(e.tag) == "nav"):
+                for link in (e for e in nav.iter() if _local(e.tag) == "a"):
+                    add(folder, link.get("href"), "".join(link.itertext()))
     return out
 
 
@@ -86,10 +118,10 @@ def read_epub(spark: SparkSession, path: str, start=None, end=None, excluded: li
         for f in frames:
             for book, data in zip(f["path"], f["content"]):
                 try:
-                    _, chapters = epub_parts(data)
+                    _, chapters = epub_parts(data, lambda n: n not in skip and (a or 1) <= n <= (b or n))
                 except Exception as e:
                     raise ValueError(f"Failed to parse EPUB: {e}") from e
-                rows = [(book, n, t, None if n in skip or n < (a or 1) or n > (b or n) else h, e) for n, t, h, e in chapters]
+                rows = [(book, *c) for c in chapters]
                 yield pd.DataFrame(rows, columns=["book_id", "ord", "title", "html", "error"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RAW_CHAPTERS)
@@ -99,7 +131,7 @@ def epub_metadata_table(spark: SparkSession, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for book, data in zip(f["path"], f["content"]):
-                meta, chapters = epub_parts(data)
+                meta, chapters = epub_parts(data, lambda n: False)
                 yield pd.DataFrame([{"book_id": book, "file_name": posixpath.basename(book), **{k: meta.get(k) for k in ("title", "creator", "publisher", "date", "language", "isbn")}, "total": len(chapters)}])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "book_id string, file_name string, title string, creator string, publisher string, date string, language string, isbn string, total int")
@@ -111,17 +143,46 @@ def chapters(raw: DataFrame) -> DataFrame:
     return raw.select("book_id", "ord", title.alias("title"), clean_html(F.col("html")).alias("text"), "error")
 
 
-def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None]]) -> DataFrame:
-    """pages of PDF files; `extract` gives the text of each page of a file's bytes."""
+PDF_INFO = "book_id string, file_name string, raw_text string, info map<string,string>, meta_title string, meta_author string, version string, total int"
+
+
+def _extracted(found) -> dict:
+    """What an extractor gave: a list of page texts, or a mapping with pages and, if known, text, info, metadata and total."""
+    return found if isinstance(found, dict) else {"pages": list(found)}
+
+
+def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None] | dict]) -> DataFrame:
+    """pages of PDF files; `extract` gives the text of each page of a file's bytes, alone or with the file's facts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for book, data in zip(f["path"], f["content"]):
-                yield pd.DataFrame([(book, n, t) for n, t in enumerate(extract(data), 1)], columns=["book_id", "page_no", "text"])
+                yield pd.DataFrame([(book, n, t) for n, t in enumerate(_extracted(extract(data)).get("pages") or [], 1)], columns=["book_id", "page_no", "text"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PAGES)
 
 
+def read_pdf_info(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None] | dict]) -> DataFrame:
+    """A row for each PDF file: its information dictionary, the title and author of its metadata, version, raw text and page count.
+
+    The page count is what the extractor says, else the number of pages; the metadata's own `_metadata` is unwrapped;
+    values that are no strings are left out of info.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for book, data in zip(f["path"], f["content"]):
+                x = _extracted(extract(data))
+                info = {k: v for k, v in (x.get("info") or {}).items() if isinstance(v, str)}
+                own = x.get("metadata") or {}
+                own = own.get("_metadata") or own
+                text = lambda v: v if isinstance(v, str) else None
+                version = info.get("PDFFormatVersion", "")
+                yield pd.DataFrame([{"book_id": book, "file_name": posixpath.basename(book), "raw_text": x.get("text"), "info": info, "meta_title": text(own.get("title")), "meta_author": text(own.get("author")), "version": version if version.strip() else None, "total": x.get("total") or len(x.get("pages") or [])}])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PDF_INFO)
+
+
 def read_decks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Markdown files as answers (book_id, section_index, markdown), and their issues, which are warnings here."""
     decks = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("book_id"), F.lit(1).alias("section_index"), F.col("value").alias("markdown"))
@@ -129,16 +190,35 @@ def read_decks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts in a folder by name, without .md."""
+    """Prompts in a folder by name, without .md, in the order of their names."""
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1)
-    return spark.read.text(path, wholetext=True).select(name.alias("file"), F.col("value").alias("prompt")).where(F.col("file").rlike(r"(?i)\.md$")).select(F.regexp_replace("file", r"(?i)\.md$", "").alias("name"), "prompt")
+    found = spark.read.text(path, wholetext=True).select(name.alias("file"), F.col("value").alias("prompt")).where(F.col("file").rlike(r"(?i)\.md$"))
+    return found.select(F.regexp_replace("file", r"(?i)\.md$", "").alias("name"), "prompt").orderBy(F.collate("name", "UNICODE"))
+
+
+def load_prompt(spark: SparkSession, path: str, name: str) -> str:
+    """One prompt of a folder; its name may have .md and must be of letters, digits, dot, dash and underscore."""
+    clean = re.sub(r"(?i)\.md$", "", name.strip())
+    if not re.fullmatch(r"[a-zA-Z0-9._-]+", clean):
+        raise ValueError(f'Prompt name "{name}" has characters that are not allowed.')
+    found = read_prompts(spark, path).where(F.col("name") == clean).take(1)
+    if not found:
+        raise FileNotFoundError(f'Prompt "{clean}" not found. Expected under {path}.')
+    return found[0]["prompt"]
 
 
 def resolve_media(refs: DataFrame, files: list[DataFrame], allow_remote: bool = False) -> DataFrame:
-    """refs (ref) with content from the first of the folders (name, content) that has it; remote ones are refused unless allowed."""
+    """refs (ref) with content from the first of the folders (name, content) that has it; remote ones are refused unless allowed.
+
+    The error of a reference that no folder has joins what each of them lacks. References and names meet first, so
+    bytes move only for files that are asked for.
+    """
+    wanted = refs.select("ref").distinct()
     out = refs.withColumn("remote", F.col("ref").rlike(r"(?i)^https?://"))
     for i, f in enumerate(files):
-        out = out.join(f.select(F.col("name").alias(f"__n{i}"), F.col("content").alias(f"__c{i}")), F.col("ref") == F.col(f"__n{i}"), "left")
+        asked = f.join(wanted, f["name"] == F.col("ref"), "left_semi")
+        out = out.join(asked.select(F.col("name").alias(f"__n{i}"), F.col("content").alias(f"__c{i}")), F.col("ref") == F.col(f"__n{i}"), "left")
     found = F.coalesce(*[F.col(f"__c{i}") for i in range(len(files))], F.lit(None).cast("binary"))
-    error = F.when(F.col("remote") & F.lit(not allow_remote), "remote media is disabled").when(found.isNull() & ~F.col("remote"), F.concat(F.lit("not found: "), F.col("ref")))
-    return out.select("ref", found.alias("content"), error.alias("error"))
+    reasons = F.concat_ws("; ", *[F.concat(F.lit("not found: "), F.col("ref"), F.lit(f" in folder {i + 1}")) for i in range(len(files))])
+    error = F.when(F.col("remote") & F.lit(not allow_remote), "remote media is disabled").when(found.isNull() & ~F.col("remote"), reasons)
+    return out.select("ref", F.when(~F.col("remote"), found).alias("content"), error.alias("error"))

@@ -5,17 +5,21 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import sqlite3
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quire.operators.cards import deck_markdown
+from quire.operators.cards import card_table, deck_markdown
 from quire.operators.generate import failures, until_failure
 
 MINIMAL = ["index", "title", "text"]
+#: The default template of a package: both sides' formats and the style.
+QUESTION, ANSWER = "{{Front}}", "{{FrontSide}}<hr id=answer>{{Back}}"
+CARD_CSS = ".card { font-family: sans-serif; text-align: left; } pre { overflow-x: auto; }"
 _NAMES = {"page_range": "pageRange", "page_count": "pageCount", "processed_pages": "processedPages", "original_chapter_index": "originalChapterIndex"}
 
 
@@ -32,24 +36,35 @@ def book_json(sections: DataFrame, metadata: DataFrame | None = None, full: bool
     return books.select("book_id", F.to_json(F.struct(*parts), {"pretty": "true", "ignoreNullFields": "true"}).alias("json"))
 
 
-def write_json(books: DataFrame, path: str) -> None:
-    """One JSON document a line and book, distributed."""
-    books.select(F.regexp_replace("json", "\n\\s*", "").alias("value")).write.mode("overwrite").text(path)
+def write_json(books: DataFrame, path: str, pretty: bool = False, dry: bool = False) -> None:
+    """One JSON document a line and book, distributed; pretty: as it is printed for a file of its own, a blank line between books.
+
+    A dry run writes nothing.
+    """
+    if not dry:
+        value = F.col("json") if pretty else F.regexp_replace("json", "\n\\s*", "")
+        books.select(value.alias("value")).write.mode("overwrite").text(path, lineSep="\n\n" if pretty else "\n")
 
 
 def write_deck(cards: DataFrame, path: str, title: str = "Deck") -> int:
-    """Each book's deck as one Markdown row; returns the number of cards and fails without any."""
-    total = cards.count()
-    if not total:
+    """Each book's deck as one Markdown row; returns the number of cards and fails without any. Cards are counted as they are written."""
+    if cards.isEmpty():
         raise ValueError("No flashcards were generated.")
-    deck_markdown(cards, title).select("markdown").write.mode("overwrite").text(path, lineSep="\n\n")
-    return total
+    seen = Observation()
+    decks = deck_markdown(cards, title).observe(seen, F.sum("cards").alias("cards"))
+    decks.select("markdown", "cards").select("markdown").write.mode("overwrite").text(path, lineSep="\n\n")
+    return int(seen.get["cards"])
 
 
 def write_failures(answered: DataFrame, path: str) -> None:
-    """What was answered before the first failure of each book, and the failed section's answer."""
-    until_failure(answered).write.mode("overwrite").parquet(os.path.join(path, "partial"))
-    failures(answered).write.mode("overwrite").parquet(os.path.join(path, "failed"))
+    """What was answered before the first failure of each book as Markdown decks, and the failed section's answer.
+
+    Both are partitioned by book, the failed ones by section as well; answered should be a written table.
+    """
+    failed = failures(answered)
+    partial = card_table(until_failure(answered).join(failed.select("book_id").distinct(), "book_id", "left_semi"))
+    deck_markdown(partial).select("book_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("book_id").text(f"{path}/partial.md")
+    failed.select("book_id", "section_index", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("book_id", "section_index").text(f"{path}/failed-section.md")
 
 
 def output_path(kind: str, out: str | None = None, paths: dict[str, str] | None = None, default: str | None = None, extension: str | None = None) -> str | None:
@@ -59,6 +74,19 @@ def output_path(kind: str, out: str | None = None, paths: dict[str, str] | None
     return path if not path or path.endswith(extension) else path + extension
 
 
+def template_path(target: str | None = None, source: str | None = None, folder: str = ".") -> str:
+    """Where an index template goes: the target, index.json in a target folder, or a file in `folder` named after the source."""
+    if not target:
+        stem = re.sub(r"[^a-z0-9]+", "-", os.path.splitext(os.path.basename(source))[0].strip().lower()).strip("-") or "deck" if source else None
+        return os.path.join(folder, f"{stem}.index.json" if stem else "index.json")
+    extension = os.path.splitext(target)[1]
+    if not extension:
+        return os.path.join(target, "index.json")
+    if extension.lower() != ".json":
+        raise ValueError("Index template output must end with .json")
+    return target
+
+
 _TABLES = """
 CREATE TABLE col (id integer primary key, crt integer, mod integer, scm integer, ver integer, dty integer, usn integer, ls integer, conf text, models text, decks text, dconf text, tags text);
 CREATE TABLE notes (id integer primary key, guid text, mid integer, mod integer, usn integer, tags text, flds text, sfld text, csum integer, flags integer, data text);
@@ -76,9 +104,9 @@ def note_id(deck: str, front: str, back: str) -> int:
 def write_package(cards: DataFrame, path: str, title: str = "Deck", media: dict[str, bytes] | None = None, css: str = "") -> int:
     """An Anki package on the driver, its cards streamed in order; returns the number of notes."""
     deck_id, model_id = note_id(title, "deck", "") % (1 << 31), note_id(title, "model", "") % (1 << 31)
-    model = {"id": model_id, "name": "Quire", "type": 0, "mod": 0, "usn": 0, "sortf": 0, "did": deck_id, "css": css, "latexPre": "", "latexPost": "", "tags": [], "vers": [], "req": [[0, "all", [0]]],
+    model = {"id": model_id, "name": "Quire", "type": 0, "mod": 0, "usn": 0, "sortf": 0, "did": deck_id, "css": css or CARD_CSS, "latexPre": "", "latexPost": "", "tags": [], "vers": [], "req": [[0, "all", [0]]],
              "flds": [{"name": n, "ord": i, "sticky": False, "rtl": False, "font": "Arial", "size": 20, "media": []} for i, n in enumerate(("Front", "Back"))],
-             "tmpls": [{"name": "Card 1", "ord": 0, "qfmt": "{{Front}}", "afmt": "{{FrontSide}}<hr id=answer>{{Back}}", "did": None, "bqfmt": "", "bafmt": ""}]}
+             "tmpls": [{"name": "Card 1", "ord": 0, "qfmt": QUESTION, "afmt": ANSWER, "did": None, "bqfmt": "", "bafmt": ""}]}
     deck = {"id": deck_id, "name": title, "mod": 0, "usn": 0, "desc": "", "dyn": 0, "collapsed": False, "conf": 1, "newToday": [0, 0], "revToday": [0, 0], "lrnToday": [0, 0], "timeToday": [0, 0], "extendNew": 0, "extendRev": 0}
     n = 0
     with tempfile.TemporaryDirectory() as folder:

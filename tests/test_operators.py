@@ -258,7 +258,8 @@ def test_epub(spark, tmp_path):
     raw = books.read_epub(spark, str(tmp_path / "*.epub"), end=3, excluded=[3])
     got = rows(books.chapters(raw).select("ord", "title", "text"))
     assert got == [(1, "Contents", "x"), (2, "Section 2", "a & b"), (3, "Two", ""), (4, "Section 4", "")]
-    assert raw.where("error is not null").count() == 1
+    assert raw.where("error is not null").count() == 0  # a chapter out of the range is not read
+    assert rows(books.read_epub(spark, str(tmp_path / "*.epub")).where("error is not null").select("ord", "html")) == [(4, None)]
     m = books.epub_metadata_table(spark, str(tmp_path / "*.epub")).first()
     assert (m["title"], m["creator"], m["total"], m["file_name"]) == ("Book", "Me", 4, "a.epub")
     (tmp_path / "bad.epub").write_bytes(b"no")
@@ -285,7 +286,7 @@ def test_book_json_and_other_sources(spark, tmp_path):
     refs = spark.createDataFrame([("a.png",), ("http://h/b.png",), ("c.png",)], "ref string")
     one, two = spark.createDataFrame([("a.png", bytearray(b"1"))], "name string, content binary"), spark.createDataFrame([("a.png", bytearray(b"2"))], "name string, content binary")
     got = {r["ref"]: (bytes(r["content"]) if r["content"] else None, r["error"]) for r in books.resolve_media(refs, [one, two]).collect()}
-    assert got == {"a.png": (b"1", None), "http://h/b.png": (None, "remote media is disabled"), "c.png": (None, "not found: c.png")}
+    assert got == {"a.png": (b"1", None), "http://h/b.png": (None, "remote media is disabled"), "c.png": (None, "not found: c.png in folder 1; not found: c.png in folder 2")}
 
 
 def test_drop_folder(spark, tmp_path):
@@ -322,3 +323,119 @@ def test_convert(spark, tmp_path):
     assert (m["title"], m["extractedPages"], m["indexChapters"], m["extractedSections"]) == ("p", 9, 3, 2)
     out = convert.pdf(spark, str(tmp_path / "p.pdf"), split)
     assert rows(out.sections.select("text", "page_range", "processed_pages")) == [("one three", "1-3", 2)]
+
+
+def test_reading_order_goes_by_gaps(spark):
+    run = lambda x, y, t: {"x": x, "y": y, "R": [{"T": t}]}
+    pages = [("b", 1, [run(9.0, 1.04, "right"), run(1.0, 1.06, "left"), run(0.0, 1.5, "next")]), ("b", 2, []), ("b", 3, [run(5.0, 2.0, "a"), run(5.0, 2.0, "b")])]
+    df = spark.createDataFrame(pages, "book_id string, page_no int, runs array<struct<x:double,y:double,R:array<struct<T:string>>>>")
+    assert rows(assemble.pages_from_runs(df).select("page_no", "text")) == [(1, "left right next"), (2, ""), (3, "a b")]
+
+
+def test_overlaps_of_one_index_and_of_long_ranges(spark):
+    ranges = ["1-5", "4-9", "1-9999999999", "64-64", "500-600", "600-700", "7-6", "9999999999-10000000001"]
+    s = spark.createDataFrame([("b", 1 if n < 2 else n, str(n), r, n) for n, r in enumerate(ranges)], "book_id string, index int, title string, page_range string, ord int")
+    got = [(int(r["left_title"]), int(r["right_title"]), r["overlap_start"], r["overlap_end"]) for r in summary.page_overlaps(s).collect()]
+    spans = [tuple(map(int, r.split("-"))) for r in ranges]
+    want = [(i, j, max(a, c), min(b, e)) for i, (a, b) in enumerate(spans) for j, (c, e) in enumerate(spans) if i < j and a <= b and c <= e and max(a, c) <= min(b, e)]
+    assert sorted(got) == want
+    assert summary.page_overlaps(s.drop("ord").where("index = 1")).count() == 1
+
+
+def test_durations_go_by_the_double(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from quire.functions import fmt
+
+    ms = [0, 5, 15, 1005, 1015, 125, 375, 2675, 10_235, 1_234_565, 99_995, 59_995, 8_000_005]
+    df = spark.createDataFrame([(n,) for n in [*ms, None]], "n bigint")
+    got = {r["n"]: r["d"] for r in df.select("n", fmt.duration(F.col("n")).alias("d")).collect()}
+    assert got == {n: f"{Decimal(n / 1000).quantize(Decimal('0.01'), ROUND_HALF_UP)}s" for n in ms} | {None: None}
+    assert got[1005] == "1.00s" and got[125] == "0.13s"
+
+
+def test_missing_sections_cannot_be_deleted(spark):
+    s = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "book_id string, index int, title string")
+    assert edits.delete_section(s, 2, "a", strict=True).count() == 2
+    with pytest.raises(Exception, match="Section with index 2 not found"):
+        edits.delete_section(s, 2, strict=True).collect()
+    with pytest.raises(ValueError, match="Invalid JSON data structure"):
+        edits.delete_section(s.drop("index"), 1)
+    stack = spark.sql("select array(struct('A' title, 5L timestamp), struct('B' title, 6L timestamp)) s union all select array()")
+    got = [r[0] for r in stack.select(edits.undo_summary(F.col("s"))).collect()]
+    assert [tuple(x) if x else None for x in got] == [("B", 6, 2), None]
+
+
+def test_retry_lines_say_why():
+    lines = []
+    errors = [retry.CallError(status=503), retry.CallError("x", code="EPIPE"), TimeoutError("the call took far too long")]
+
+    def call():
+        if errors:
+            raise errors.pop(0)
+        return 1
+
+    assert retry.with_retry(call, sleep=lambda ms: None, random=lambda: 0.5, log=lines.append, label="m") == 1
+    assert lines == ["m: 503, retrying in 1.5s (attempt 2/5)", "m: EPIPE, retrying in 3.0s (attempt 3/5)", "m: the call took far too long, retrying in 6.0s (attempt 4/5)"]
+
+
+def test_arguments():
+    from quire.operators import args
+
+    assert args.preview_args(["a", "--preview", "200", "--preview=30", "--preview", "x", "--preview"]) == ["a", "--preview", "--preview-chars", "200", "--preview", "--preview-chars", "30", "--preview", "x", "--preview"]
+    assert [args.preview_mode(a) for a in (["--no-preview", "--preview"], ["--preview=false"], ["--preview=3"], [])] == ["disabled", "disabled", "enabled", "unset"]
+    assert args.integer_option(None, "--x", 1) is None and args.integer_option(0, "--x", 0) == 0
+    for bad, least in ((0, 1), (1.5, 0), ("1", 0), (float("nan"), 0), (True, 0)):
+        with pytest.raises(ValueError, match="--x must be a"):
+            args.integer_option(bad, "--x", least)
+    assert sinks.template_path() == "./index.json" and sinks.template_path(None, "/b/My Book.pdf", "o") == "o/my-book.index.json" and sinks.template_path("d") == "d/index.json" and sinks.template_path("d/x.JSON") == "d/x.JSON"
+    with pytest.raises(ValueError):
+        sinks.template_path("d/x.txt")
+
+
+def test_plans_of_a_run(spark, tmp_path):
+    s = settings.Settings(provider="gemini", models={"gemini": "gemini-x", "codex": "gpt-y"}, effort="low")
+    assert generate.resolve_plan(s, "p") == generate.Plan("gemini", "gemini-x", "p")
+    assert generate.resolve_plan(s, "p", "codex") == generate.Plan("codex", "gpt-y", "p", None, "low")
+    with pytest.warns(UserWarning, match="may not belong"):
+        assert generate.resolve_plan(s, "p", "openai").model == "gemini-x"
+    with pytest.raises(ValueError, match="Model is required"):
+        generate.resolve_plan(settings.Settings(), "p")
+    assert generate.key_of(" openai ", {"OPENAI_API_KEY": "k"}) == ("OPENAI_API_KEY", "k")
+    models = spark.createDataFrame([("openai", "GPT-5"), ("openai", "claude"), ("openrouter", "a/b"), ("none", "x")], "p string, m string")
+    assert [r[0] for r in models.select(generate.odd_model(F.col("p"), F.col("m"))).collect()] == [False, True, False, None]
+    calls = []
+    sections = spark.createDataFrame([("b", 1, "one")], "book_id string, index int, text string")
+    assert generate.run(sections, generate.resolve_plan(s, "p"), lambda p, t: calls.append(t), dry=True) is None and not calls
+    out = generate.run(sections, generate.resolve_plan(s, "p"), lambda p, t: f"## {t}\n\n- a", store=str(tmp_path / "answers"))
+    assert out.count() == 1 and out.first()["error"] is None
+    with pytest.raises(ValueError, match="No sections"):
+        generate.run(sections.limit(0), generate.resolve_plan(s, "p"), None)
+
+
+def test_faulty_books_and_prompts(spark, tmp_path):
+    for n, text in enumerate(["{", '{"content": [{"index": 0, "text": "a"}]}', "[]", '{"content": 3}']):
+        (tmp_path / f"{n}.json").write_text(text)
+        with pytest.raises(Exception, match="Invalid JSON input"):
+            books.read_book_json(spark, str(tmp_path / f"{n}.json"))[1].collect()
+    folder = tmp_path / "prompts"
+    folder.mkdir()
+    for name in ("b", "A", "c"):
+        (folder / f"{name}.md").write_text(f"say {name}")
+    assert [r["name"] for r in books.read_prompts(spark, str(folder)).collect()] == ["A", "b", "c"]
+    assert books.load_prompt(spark, str(folder), "A.md") == "say A"
+    with pytest.raises(FileNotFoundError):
+        books.load_prompt(spark, str(folder), "z")
+    with pytest.raises(ValueError):
+        books.load_prompt(spark, str(folder), "../z")
+
+
+def test_facts_of_a_pdf(spark, tmp_path):
+    from quire.plans import convert
+
+    (tmp_path / "p.pdf").write_bytes(b" \f ")
+    facts = lambda b: {"pages": b.decode().split("\f"), "text": " all of it ", "total": 7, "info": {"Title": " ", "Creator": "C", "PDFFormatVersion": "1.7", "n": 3}, "metadata": {"_metadata": {"title": "M", "author": "A"}}}
+    out = convert.pdf(spark, str(tmp_path / "p.pdf"), facts)
+    m = out.metadata.first()
+    assert (m["title"], m["author"], m["creator"], m["pdfVersion"], m["totalPages"], m["extractedSections"]) == ("M", "A", "C", "1.7", 7, 1)
+    assert rows(out.sections.select("index", "title", "text")) == [(1, "p", "all of it")]
