@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.llm.common import table
+from quire.llm.common import free_name, packed, slices, table
 
 #: Payloads are stored as binary grey maps: rows of 64 samples of 8 bits.
 ROW = 64
 MEDIA_TAGS = {"img", "video", "audio", "embed", "source"}
+HOLDERS = {"video", "audio", "picture"}
 SILENT_TAGS = {"script", "style", "template", "noscript"}
 BREAKING_TAGS = {"p", "div", "article", "section", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "figure", "blockquote", "pre"}
 SCHEME = "media:sha256/"
@@ -31,7 +33,11 @@ ELEMENT = "struct<position:int,kind:string,text:string,ref:string,caption:string
 
 
 class _Reader(HTMLParser):
-    """Collects text blocks and media references in document order; a figure's caption goes to its media."""
+    """Collects text blocks and media references in document order; a figure's caption goes to its media.
+
+    A medium with several forms (sources of a video, audio or picture, or a srcset) counts once, by its own address or
+    else by the first of its forms; a poster is a medium before its video.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -40,6 +46,11 @@ class _Reader(HTMLParser):
         self.silent = 0
         self.figures: list[int] = []
         self.caption: list[str] | None = None
+        self.parent: list[dict] = []  # open video, audio and picture: the medium they stand for, once there is one
+
+    def medium(self, ref: str, caption: str | None) -> None:
+        self.flush()
+        self.items.append({"kind": "media", "text": None, "ref": ref, "caption": caption})
 
     def flush(self) -> None:
         text = "".join(self.block)
@@ -53,11 +64,22 @@ class _Reader(HTMLParser):
         elif tag == "figcaption":
             self.flush()
             self.caption = []
-        elif tag in MEDIA_TAGS:
+        elif tag in MEDIA_TAGS or tag == "picture":
             got = dict(attrs)
-            if ref := got.get("src") or got.get("data-src"):
-                self.flush()
-                self.items.append({"kind": "media", "text": None, "ref": ref, "caption": got.get("alt") or None})
+            forms = (got.get("srcset") or "").split(",")[0].split()
+            ref = got.get("src") or got.get("data-src") or (forms[0] if forms else None)
+            caption = got.get("alt") or None
+            if tag in HOLDERS:
+                if got.get("poster"):
+                    self.medium(got["poster"], None)
+                self.parent.append({"done": False})
+            holder = self.parent[-1] if self.parent else None
+            if ref and holder and tag == "img" and holder["done"]:  # the plain form of a picture: it has the address and the words
+                self.items[holder["at"]] |= {"ref": ref, "caption": caption}
+            elif ref and not (holder and holder["done"]):
+                self.medium(ref, caption)
+                if holder:
+                    holder |= {"done": True, "at": len(self.items) - 1}
         elif tag in BREAKING_TAGS:
             self.flush()
         if tag == "figure":
@@ -74,6 +96,8 @@ class _Reader(HTMLParser):
                     item["caption"] = text
         elif tag in BREAKING_TAGS:
             self.flush()
+        if tag in HOLDERS and self.parent:
+            self.parent.pop()
         if tag == "figure" and self.figures:
             self.figures.pop()
 
@@ -94,23 +118,23 @@ def parse(page: str | None) -> list[dict]:
 
 
 def interleave(pages: DataFrame, html_col: str = "html", out: str = "elements") -> DataFrame:
-    """pages without the HTML and with the array of elements; one row for each row. No shuffle."""
+    """pages without the HTML and with the array of elements; one row for each row. No shuffle.
+
+    Null and empty pages have no elements; repeated rows keep their rows, an empty table gives none. A column of the
+    name `out` is kept, and the array gets the name with underscores after it.
+    """
     others = [c for c in pages.columns if c != html_col]
+    out = free_name(out, others)
     narrow = pages.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{html_col}`"))
     kinds = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch):
                 found = pa.array([parse(v.as_py()) for v in part.column(len(others))], kinds)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=[*others, out])
 
-    return narrow.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), f"`{out}` array<{ELEMENT}>"]))
-
-
-def _parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:-1], T.StructField(out, T._parse_datatype_string(f"array<{ELEMENT}>"))]))
 
 
 def pad(data: bytes) -> bytes:
@@ -143,7 +167,7 @@ def store(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([encode(pad((v.as_py() or "").encode())) for v in part.column(0)], pa.binary())], names=["media"])
 
     return table(docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "media binary"))
@@ -168,11 +192,20 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, found: DataFrame, elements: str = "elements") -> DataFrame:
-    """A row for each media reference: the other columns, position, ref, caption and the payload's features, null if unknown."""
-    others = [c for c in sequences.columns if c != elements]
-    refs = sequences.select(*[F.col(f"`{c}`") for c in others], F.explode(F.filter(F.col(f"`{elements}`"), lambda x: x["kind"] == "media")).alias("__e"))
-    refs = refs.select(*[F.col(f"`{c}`") for c in others], "__e.position", "__e.ref", "__e.caption", F.expr(f"substring(__e.ref, {len(SCHEME) + 1})").alias("__digest"))
-    return refs.join(found.withColumnRenamed("payload_sha256", "__sha"), F.col("__digest") == F.col("__sha"), "left").withColumnRenamed("__sha", "payload_sha256").drop("__digest")
+    """A row for each media reference: the other columns, position, ref, caption and the payload's features, null if unknown.
+
+    References without the scheme of digests are unknown. Null and empty sequences give no rows; repeated rows keep
+    theirs. A column that has the name of one of these is kept, and the new one gets underscores after its name.
+    """
+    others = sequences.drop(elements)
+    refs = sequences.select(packed(others), F.explode(F.filter(F.col(f"`{elements}`"), lambda x: x["kind"] == "media")).alias("e"))
+    digest = F.when(F.startswith(F.col("e.ref"), F.lit(SCHEME)), F.expr(f"substring(e.ref, {len(SCHEME) + 1})"))
+    met = refs.withColumn("digest", digest).join(found.select(packed(found, "found"), F.col("payload_sha256").alias("sha")), F.col("digest") == F.col("sha"), "left")
+    out = [F.col("row")[c].alias(c) for c in others.columns]
+    for side, names in (("e", ["position", "ref", "caption"]), ("found", found.columns)):
+        for c in names:
+            out.append(F.col(side)[c].alias(free_name(c, [*others.columns])))
+    return met.select(*out)
 
 
 def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +213,7 @@ def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in slices(batch):
                 sizes, pages = [], []
                 for value in part.column(1):
                     text = value.as_py() or ""
