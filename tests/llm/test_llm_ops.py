@@ -599,3 +599,97 @@ def test_pipeline(spark):
     assert two.columns == three.columns == four.columns == docs.columns
     five = corpus.run(spark, d).collect()
     assert all(r["same"] for r in five) and Counter(r["doc_id"] for r in five) == Counter(r["doc_id"] for r in four.collect())
+
+
+# names, and texts of megabytes
+
+NAMES = ["row", "h", "h2", "n", "__h", "__h2", "__n", "__keep", "keep", "lines", "left", "copy", "__copy", "__low", "__more", "ids", "fp", "elements", "words", "words_windows", "host", "host_key", "bad", "strict", "kept", "base_failed", "n_words", "n_lines", "n_removed", "position", "ref", "caption", "payload_sha256", "e", "digest", "found", "sha", "id", "size", "key", "link", "none", "s", "k", "root", "first"]
+
+
+@pytest.mark.parametrize("name", ["mix", "keep_one", "keep_one_similar", "dedup_lines", "keep_quality", "encode", "decode", "fingerprints", "interleave", "resolve"])
+def test_columns_of_any_name_keep_their_values(spark, name):
+    """Every operator that passes columns through gets a table with its own internal names as columns; values are compared."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) + f"<img src='media:sha256/{i}' alt='c'>" for i in range(6)]
+    df = make(spark, [(i, t, f"s{i % 2}") for i, t in enumerate(texts)])
+    df = df.withColumns({c: F.concat(F.lit(f"{c}="), F.col("doc_id").cast("string")) for c in NAMES})
+    media_table = media.features(spark.createDataFrame([(bytearray(media.encode(media.pad(b"x"))),)], "media binary"))
+    out = {
+        "mix": lambda: mixing.mix(df), "keep_one": lambda: simhash.keep_one(df), "keep_one_similar": lambda: similar.keep_one_similar(df),
+        "dedup_lines": lambda: line_dedup.dedup_lines(df, counts=("n_lines", "n_removed")), "keep_quality": lambda: quality_rules.keep_quality(df),
+        "encode": lambda: pieces.encode(df, path), "decode": lambda: pieces.decode(df.withColumn("numbers", F.array(F.lit(5))), path, "numbers", "ids"),
+        "fingerprints": lambda: simhash.fingerprints(df), "interleave": lambda: media.interleave(df, "text"),
+        "resolve": lambda: media.resolve(media.interleave(df, "text", "parts"), media_table, "parts"),
+    }[name]()
+    assert len(set(out.columns)) == len(out.columns)
+    rows = out.collect()
+    assert {r["doc_id"] for r in rows} == set(range(6))
+    assert all(r[c] == f"{c}={r['doc_id']}" for r in rows for c in NAMES)
+    if name == "mix":
+        assert out.columns == df.columns
+    added = {"encode": "ids_", "decode": "ids_", "fingerprints": "fp_", "interleave": "elements_", "resolve": "caption_", "dedup_lines": "n_lines_"}.get(name)
+    assert not added or all(r[added] is not None for r in rows)
+
+
+def test_texts_of_megabytes(spark):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(5000)]
+    text = " ".join(rng.choice(vocabulary) for _ in range(150_000)) + " <|endoftext|> end"
+    near = text.replace("end", "END")
+    texts = {0: text, 1: text, 2: near, 3: "a short one of its own with ten words in it"}
+    df = make(spark, [(i, t, "s") for i, t in texts.items()])
+    words = text.split()
+    q = {r["doc_id"]: r for r in quality_rules.quality(df).collect()}
+    assert q[0]["n_words"] == len(words) and q[0]["word_chars"] == sum(map(len, words)) and q[0]["kept"]
+    t = token_counts.load(public_tokenizers.path("byte_bpe_50k.json"))
+    c = {r["doc_id"]: r for r in token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert c[0]["n_tokens"] == len(t.encode(text, add_special_tokens=False)) and c[0]["n_splices"] > 100 and c[3]["n_splices"] == 0
+    assert all(r["same"] for r in pieces.round_trip(df, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert groups == {0: 0, 1: 0, 2: 0, 3: 3} and {r["doc_id"] for r in similar.keep_one_similar(df).collect()} == {0, 3}
+    lines = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert lines[0] == text and lines[1] == "" and lines[3] == texts[3]
+    gone = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["spans"]) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert gone[0] == gone[1] == len(text) and gone[3] == 0
+    m = {r["doc_id"]: r for r in media.document_media(df).collect()}
+    assert m[0]["n_bytes"] == len(text) and m[0]["media_sha256"] == m[1]["media_sha256"]
+    assert {r["doc_id"]: r["size"] for r in mixing.copies(df).collect()}[0] == len(words)
+    assert {r["size"] for r in sharding.shards(df, 2).collect()} == {len(x) + 1 for x in texts.values()}
+
+
+def test_media_forms():
+    page = "<video poster='p.jpg'><source src='a.mp4'><source src='b.mp4'></video><picture><source srcset='x.webp 1x, y.webp 2x'><img src='z.png' alt='words'></picture><img srcset='s.png 1x'><audio src='c.ogg'><source src='d.ogg'></audio>"
+    assert [(x["ref"], x["caption"]) for x in media.parse(page)] == [("p.jpg", None), ("a.mp4", None), ("z.png", "words"), ("s.png", None), ("c.ogg", None)]
+
+
+def test_rates_solve_the_dual(spark):
+    """The tilts against a bisection of each source's dual, in plain Python."""
+    rng = random.Random(12)
+    sizes = {s: [rng.randint(1, 400) for _ in range(60)] for s in ("a", "b", "c")}
+    cells = spark.createDataFrame([("s" + s, s, n, k) for s, v in sizes.items() for n, k in Counter(v).items()], "key string, source string, size bigint, n bigint")
+    got = {r["source"]: r for r in mixing.tilts(cells, mixing.targets(cells)).collect()}
+    for s, v in sizes.items():
+        r = got[s]
+        rate = lambda lam, n: min(2.0, np.exp(lam * n))
+        low, high = -1.0, 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(n * rate(mid, n) for n in v) < r["target"] else (low, mid)
+        assert r["at_limit"] or r["lam"] / r["scale"] == pytest.approx(low, rel=1e-3, abs=1e-7)
+
+
+def test_stages_take_nulls_and_empty_tables(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone"
+    own = lambda i: " ".join(f"{w}{i}" for w in text.split())
+    rows = [(1, own(1), "s"), (1, own(1), "s"), (None, own(2), None), (None, None, None), (3, "", "s"), (4, None, "t"), (5, own(1), "t")]
+    for table in (make(spark, rows), make(spark, rows).limit(0)):
+        docs = table
+        for _, stage in corpus.STAGES:
+            docs = stage(spark, docs, "")
+            got = docs.collect()
+            docs = spark.createDataFrame(got, docs.schema)
+        assert all(r["same"] for r in got)
+        assert {r["doc_id"] for r in got} <= {1, None} and bool(got) == (table.count() > 0)
+    null = corpus.sentencepiece(spark, make(spark, [(None, None, None)]), "").first()
+    assert null["same"] is True and null["n_pieces"] == 0
