@@ -62,11 +62,12 @@ def _part(line: Column, count: Column) -> Column:
 
 def _halves(line: Column, n: Column) -> Column:
     """Hashes of the first (side 1) and last (side 2) halves, for partners as long and one word shorter."""
-    keys = []
-    for a in (_half(n + 1), _half(n)):
-        for side, count in ((1, a), (2, -a)):
-            keys.append(F.struct(F.xxhash64(F.lit(side), a, _part(line, count)).alias("k"), F.lit(side).alias("side")))
-    return F.when(n >= MIN_WORDS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<struct<k:bigint,side:int>>"))
+
+    def pair(a: Column) -> list[Column]:
+        return [F.struct(F.xxhash64(F.lit(side), a, _part(line, count)).alias("k"), F.lit(side).alias("side")) for side, count in ((1, a), (2, -a))]
+
+    longer, shorter = pair(_half(n + 1)), pair(_half(n))  # the same for an odd number of words
+    return F.when(n < MIN_WORDS, F.array().cast("array<struct<k:bigint,side:int>>")).when(n % 2 == 1, F.array(*longer)).otherwise(F.array(*longer, *shorter))
 
 
 def _let(value: Column, use) -> Column:
@@ -162,7 +163,7 @@ def _near(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> D
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows h, h2 (the row's key) and keep: the numbers, from 0, of the lines with a word that stay."""
-    lines = _lines(docs, id_col, text_col).select("o", "l", "l2", _halves(F.col("line"), _size(F.col("line"))).alias("halves"))
+    lines = _lines(docs, id_col, text_col).withColumn("n", _size(F.col("line"))).select("o", "l", "l2", _halves(F.col("line"), F.col("n")).alias("halves"))
     distinct = table(lines.groupBy("l", "l2").agg(F.min("o").alias("o"), F.first("halves").alias("halves")))
     near = table(_near(docs, distinct, id_col, text_col))
     near = _broadcast(near)
