@@ -76,6 +76,11 @@ def packed(df: DataFrame, name: str = "row") -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
 
 
+def small(rows: DataFrame, bound: int) -> DataFrame:
+    """A table to be broadcast if it has at most so many rows (counted); a longer one is joined by shuffle."""
+    return F.broadcast(rows) if rows.count() <= bound else rows
+
+
 def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about so many bytes of Arrow data, cut by its average row; long rows stay whole."""
     rows = max(1, batch.num_rows * size // max(size, batch.nbytes))

@@ -120,8 +120,9 @@ def _dealt(docs: DataFrame, source_col: str, text_col: str, id_col: str, weights
     cells = table(base.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")))
     tilted = tilts(cells, targets(cells, weights, share_percent, max_rate), max_rate)
     dealt = copies_by_cell(cells, tilted, max_rate).join(tilted.select("key", "source_size", "target"), "key")
-    dealt = dealt.select(F.col("key").alias("__k"), F.col("size").alias("__s"), "n", F.col("copies").alias("__c"), "source_size", "target")
-    rows = base.join(dealt, (F.col("key") == F.col("__k")) & (F.col("size") == F.col("__s"))).drop("__k", "__s")
+    dealt = table(dealt.select(F.col("key").alias("__k"), F.col("size").alias("__s"), "n", F.col("copies").alias("__c"), "source_size", "target"))
+    # tables on both sides of the join, so that Spark may split a hot cell
+    rows = table(base.join(dealt, (F.col("key") == F.col("__k")) & (F.col("size") == F.col("__s"))).drop("__k", "__s"))
     rows = numbered(rows, ["key", "size"], [F.col("__h"), F.col("__h2")], F.ceil(F.sqrt("n")), "__rank")
     got = F.floor(F.col("__c") / F.col("n")) + (F.col("__rank") < F.col("__c") % F.col("n")).cast("bigint")
     return rows.withColumn("copies", got.cast("bigint"))

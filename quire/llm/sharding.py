@@ -13,9 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import hash2, numbered, table
+from quire.llm.common import hash2, numbered, small, table
 
 SHARDS, ROUNDS, ROWS_A_SORT = 16, 4, 20_000
+#: Up to this many links, counted first, their elections are broadcast; more are joined by shuffle.
+BROADCAST_LINKS = 200_000
 
 
 def _uniform(*cols: Column) -> Column:
@@ -70,7 +72,7 @@ def propagate(nodes: DataFrame, total: int, shards: int = SHARDS, rounds: int =
         order = F.transform("order", lambda x: x["shard"])
         order = F.concat(order, F.array_except(all_shards, order))
         elected = tally.select(F.col("link").alias("__link"), F.slice(order, F.lit(1), F.greatest(F.lit(1), F.least(F.col("k"), F.lit(shards)))).alias("__shards"))
-        asked = placed.join(elected, F.col("linked") & (F.col("link") == F.col("__link")), "left")
+        asked = placed.join(small(table(elected), BROADCAST_LINKS), F.col("linked") & (F.col("link") == F.col("__link")), "left")
         spread = F.get("__shards", F.floor(_uniform(F.col("row_hash"), F.lit("spread")) * F.size("__shards")).cast("int"))
         want = F.when(F.col("__shards").isNull() | F.array_contains("__shards", F.col("shard")), F.col("shard")).otherwise(spread)
         asked = asked.withColumn("want", want.cast("int"))
@@ -99,7 +101,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col
         F.xxhash64(*keys).alias("row_hash"), F.xxhash64(F.lit("second"), *keys).alias("row_hash2"),
     ))
     total = base.count()
-    groups = table(base.groupBy("link", "link2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("link").alias("__l"), F.col("link2").alias("__l2"), F.col("n").alias("copies")))  # a table, so that Spark may split the join
+    groups = small(table(base.groupBy("link", "link2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("link").alias("__l"), F.col("link2").alias("__l2"), F.col("n").alias("copies"))), BROADCAST_LINKS)
     nodes = base.join(groups, (F.col("link") == F.col("__l")) & (F.col("link2") == F.col("__l2")), "left")
     nodes = nodes.withColumn("linked", F.col("copies").isNotNull()).withColumn("copies", F.coalesce("copies", F.lit(1)).cast("bigint")).drop("__l", "__l2", "link2")
     placed = propagate(nodes, total, n_shards, rounds)

@@ -28,7 +28,7 @@ from quire.llm.common import slices, table
 
 LENGTH, ANCHOR = 200, 40
 #: Anchors with more extents than this are resolved by rows of single ranks, not in one task's memory.
-WIDE = 20_000
+WIDE = 4_000
 #: Runs of one worker that are combined at a time, before the shuffle.
 RUNS = 1 << 18
 #: Starts of strings that are held as vectors at a time; a longer text is cut into overlapping segments.
