@@ -84,6 +84,46 @@ def propagate(nodes: DataFrame, total: int, shards: int = SHARDS, rounds: int =
     return placed
 
 
+def propagate_graph(nodes: DataFrame, links: DataFrame, total: int, shards: int = SHARDS, rounds: int = 8) -> DataFrame:
+    """propagate() for documents with any number of link keys: links has a row (row_hash, row_hash2, link) for each.
+
+    Documents under one key are neighbours. Each round counts, for every document, its neighbours by shard, through the
+    keys' counts and never by pairs; half of the documents, in turn, ask for the shard where most of theirs are, if that
+    is more than where they are now. nodes: row_hash, row_hash2 and payload columns. Repeated links count once; links of
+    documents that nodes lack are left out; a document without a link stays where it is put.
+    """
+    row, names = ["row_hash", "row_hash2"], [f"at{s}" for s in range(shards)]
+    quotas = [total // shards + (s < total % shards) for s in range(shards)]
+    links = table(links.select(*row, "link").distinct())
+    first = table(links.groupBy(*row).agg(F.min("link").alias("link")))
+    start = nodes.join(first, row, "left").withColumn("linked", F.col("link").isNotNull()).withColumn("link", F.coalesce("link", F.col("row_hash")))
+    placed = _place(start.withColumns({"want": F.pmod(F.col("row_hash"), F.lit(shards)).cast("int"), "rank_class": F.lit(0)}), quotas, total)
+    for turn in range(rounds):
+        at = table(links.join(placed.select(*row, "shard"), row))
+        tally = table(at.groupBy("link").agg(*[F.count_if(F.col("shard") == s).alias(n) for s, n in enumerate(names)]))
+        votes = at.join(tally, "link").groupBy(*row).agg(*[F.sum(F.col(n) - (F.col("shard") == s).cast("bigint")).alias(n) for s, n in enumerate(names)])
+        asked = placed.join(votes, row, "left")
+        best = F.array_max(F.array(*[F.struct(F.col(n).alias("n"), _uniform(F.col("row_hash"), F.lit(s)).alias("u"), F.lit(s).alias("s")) for s, n in enumerate(names)]))
+        now = F.get(F.array(*names), F.col("shard"))
+        moves = F.col("linked") & (best["n"] > now) & (F.pmod(F.xxhash64("row_hash2", F.lit(turn // 2)), F.lit(2)) == turn % 2)
+        asked = asked.withColumn("want", F.when(moves, best["s"]).otherwise(F.col("shard")).cast("int"))
+        # who has more neighbours where it wants to be stands before who has fewer
+        has = F.get(F.array(*names), F.col("want"))
+        rank = F.when(~F.col("linked"), F.lit(9)).otherwise(F.lit(8) - F.least(F.coalesce(has, F.lit(0)), F.lit(8))).cast("int")
+        asked = table(asked.withColumn("rank_class", rank).drop(*names))
+        if turn % 2 and asked.where("want <> shard").isEmpty():
+            break
+        placed = _place(asked.drop("shard"), quotas, total)
+    return placed
+
+
+def cut(placed: DataFrame, links: DataFrame) -> int:
+    """How many (document, link) incidences are cut: those outside the shard where their link has most of its documents."""
+    at = links.select("row_hash", "row_hash2", "link").distinct().join(placed.select("row_hash", "row_hash2", "shard"), ["row_hash", "row_hash2"])
+    held = at.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("link").agg((F.sum("n") - F.max("n")).alias("cut"))
+    return held.agg(F.coalesce(F.sum("cut"), F.lit(0)).alias("cut")).first()["cut"]
+
+
 def shards(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows id, size, text_crc32, law, shard, slot, grown_shard, copies; one for each row of docs.
 

@@ -190,6 +190,25 @@ def test_sharding_keeps_groups_together(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 1
 
 
+def test_propagation_over_a_graph_cuts_few_links(spark):
+    """Four communities of documents with many pair links inside and a few between, against where a hash puts them."""
+    rng = random.Random(7)
+    pairs = [(g * 40 + rng.randrange(40), g * 40 + rng.randrange(40)) for g in range(4) for _ in range(160)]
+    pairs += [(rng.randrange(160), rng.randrange(160)) for _ in range(12)]
+    name = lambda i: xxhash.xxh64_intdigest(str(i)) >> 1
+    nodes = spark.createDataFrame([(name(i), i, i) for i in range(166)], "row_hash bigint, row_hash2 bigint, doc int")
+    links = spark.createDataFrame([(name(i), i, k) for k, (a, b) in enumerate(pairs) for i in {a, b}], "row_hash bigint, row_hash2 bigint, link bigint")
+    placed = sharding.propagate_graph(nodes, links, 166, 4, 8)
+    rows = placed.collect()
+    sizes = Counter(r["shard"] for r in rows)
+    assert len(rows) == 166 and max(sizes.values()) - min(sizes.values()) <= 1
+    shard = {r["doc"]: r["shard"] for r in rows}
+    got = sharding.cut(placed, links)
+    assert got == sum(shard[a] != shard[b] for a, b in pairs)
+    by_hash = sharding.cut(nodes.withColumn("shard", F.col("row_hash") % 4), links)
+    assert got < 0.5 * by_hash
+
+
 # token counts
 
 
