@@ -26,7 +26,7 @@ from quire.llm.common import free_name, slices
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Entries of the caches of words and pairs in each Python worker.
-CACHE = 500_000
+CACHE = 250_000
 #: Words of more characters run through the automaton one by one; the others so many at a time.
 SHORT, BLOCK = 64, 1 << 15
 
