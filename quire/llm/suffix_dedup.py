@@ -28,7 +28,7 @@ from quire.llm.common import slices, table
 
 LENGTH, ANCHOR = 200, 40
 #: Anchors with more extents than this are resolved by rows of single ranks, not in one task's memory.
-WIDE = 4_000
+WIDE = 20_000
 #: Runs of one worker that are combined at a time, before the shuffle.
 RUNS = 1 << 18
 #: Starts of strings that are held as vectors at a time; a longer text is cut into overlapping segments.
@@ -178,7 +178,7 @@ def _marks(value) -> tuple[np.ndarray, ...]:
 
 def _open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """gram, rank, h, n_bytes, at, weight of each position of the open runs; a weight of 2 says that the position surely repeats."""
-    for batch in batches:
+    for batch in (s for b in batches for s in slices(b)):
         out = []
         for h, n, value, marks in zip(np.asarray(batch.column("h")), np.asarray(batch.column("n_bytes")), batch.column("text"), batch.column("open")):
             data, (firsts, lasts, gram, weight) = _bytes(value), _marks(marks)
@@ -191,7 +191,7 @@ def _open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """gram, h, n_bytes, first, weight and the bytes of each open run."""
-    for batch in batches:
+    for batch in (s for b in batches for s in slices(b)):
         out = []
         for h, n, value, marks in zip(np.asarray(batch.column("h")).tolist(), np.asarray(batch.column("n_bytes")).tolist(), batch.column("text"), batch.column("open")):
             text, found = value.as_buffer().to_pybytes(), _marks(marks)
