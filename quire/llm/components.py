@@ -23,16 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: larger neighbours of each node hang onto the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m"))
-        low = table(low)  # so that Spark may split the join
         large = both.join(low.hint("merge"), F.col("a") == F.col("n")).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: smaller neighbours and the node itself hang onto the smallest
-        large = table(large)
-        low2 = table(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")))
+        low2 = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         joined = large.join(low2.hint("merge"), F.col("a") == F.col("n"))
         small = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         new = table(small)
-        for old in (e, low, large, low2):
-            drop_table(old)
+        drop_table(e)
         # settled: every node has one edge, and to a node that has none
         tops = new.select(F.col("b").alias("t")).distinct()
         nodes = new.select("a")
