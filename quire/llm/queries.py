@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from quire.llm.alignment import alignment
 from quire.llm.common import documents
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.media import document_media
 from quire.llm.mixing import copies
 from quire.llm.pieces import round_trip
 from quire.llm.quality_rules import quality
+from quire.llm.ranked_search import search
 from quire.llm.sharding import shards
 from quire.llm.simhash import near_duplicates
 from quire.llm.suffix_dedup import remove_repeats
@@ -64,8 +66,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    found = (op1_line_dedup, op2_sharding, op3_token_counts, op4_mixing, op5_toxicity, op6_sentencepiece, op7_quality_rules, op8_suffix_dedup, op9_media_columns, op10_simhash)
+    found = (op1_line_dedup, op2_sharding, op3_token_counts, op4_mixing, op5_toxicity, op6_sentencepiece, op7_quality_rules, op8_suffix_dedup, op9_media_columns, op10_simhash, op12_ranked_search, op13_alignment)
     return {f.__name__: f for f in found}
 
 
@@ -145,5 +155,29 @@ FROM documents a LEFT JOIN t USING (doc_id)
 """
 
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws,
+    row_number() OVER () AS rid
+  FROM documents
+), s AS (
+  SELECT CAST(count(*) FILTER (WHERE len(ws) > 0) AS BIGINT) AS big_n, CAST(sum(len(ws)) AS BIGINT) AS big_l FROM t
+), p AS (
+  SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT rid, doc_id, CAST(len(ws) AS BIGINT) AS n, unnest(ws) AS term FROM t) GROUP BY rid, term
+), f AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term, big_n
+), q AS (
+  SELECT iid, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS iid, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY iid, item_id, term
+), g AS (
+  SELECT iid, item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l))))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY iid, item_id, rid, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM g WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op12_ranked_search": OP12_SQL, "op1_line_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}
