@@ -12,6 +12,7 @@ from quire.llm.common import documents
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.media import document_media
 from quire.llm.mixing import copies
+from quire.llm.personal_data import personal_data
 from quire.llm.pieces import round_trip
 from quire.llm.quality_rules import quality
 from quire.llm.ranked_search import search
@@ -66,6 +67,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
 
@@ -75,7 +80,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_line_dedup, op2_sharding, op3_token_counts, op4_mixing, op5_toxicity, op6_sentencepiece, op7_quality_rules, op8_suffix_dedup, op9_media_columns, op10_simhash, op12_ranked_search, op13_alignment)
+    found = (op1_line_dedup, op2_sharding, op3_token_counts, op4_mixing, op5_toxicity, op6_sentencepiece, op7_quality_rules, op8_suffix_dedup, op9_media_columns, op10_simhash, op11_personal_data, op12_ranked_search, op13_alignment)
     return {f.__name__: f for f in found}
 
 
