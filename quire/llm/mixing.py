@@ -8,13 +8,18 @@ then rounded into whole copies so that each source's tokens stay near its target
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut, numbered, packed, table, words
 
 WEIGHTS, SHARE_PERCENT, MAX_RATE = (3, 1, 2), 150, 2
-NEWTON_STEPS, TOLERANCE = 60, 1e-6
+#: Sizes of a band that the last walk may change.
+WALK_CELLS = 32
+#: More passes than halvings a bracket of doubles can have.
+NEWTON_STEPS, TOLERANCE = 1200, 1e-6
 
 
 def _key(source: Column) -> Column:
@@ -49,58 +54,80 @@ def targets(cells: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
 def tilts(cells: DataFrame, wanted: DataFrame, max_rate: int = MAX_RATE, steps: int = NEWTON_STEPS) -> DataFrame:
     """wanted with lam and scale: rate = min(max_rate, exp(lam * size / scale)).
 
-    Newton steps on log tokens(lam) = log target, kept inside a bracket; each is one aggregation of the cells.
-    Sources at their limit need none: all their documents get max_rate. A source that is not solved after all steps
-    is an error.
+    Newton steps on log tokens(lam) = log target inside a bracket that is known beforehand: at ln(max_rate) over the
+    least size of a source all its rates are at their limit, and at ln(target / source_size) over it the tokens are
+    below a target that is less than the source. Every pass is one aggregation of the cells that tries three points:
+    Newton's, the middle of the bracket and its geometric middle. So the bracket at least halves, whatever the sizes,
+    and a pass after the one that leaves no double between its ends is not needed. Sources at their limit need none.
     """
-    scale = cells.groupBy("key").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")), F.sum(F.col("n") * F.col("size"))).alias("scale"))
-    state = wanted.join(scale.hint("merge"), "key").withColumns({"at_limit": F.col("target") >= max_rate * F.col("source_size").cast("double"), "lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")})
-    state = state.withColumn("done", F.col("at_limit") | (F.col("source_size") == 0) | (F.col("target") <= 0))
-    state = cut(state)
+    positive = F.when(F.col("size") > 0, F.col("size"))
+    scale = cells.groupBy("key").agg(
+        F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")), F.sum(F.col("n") * F.col("size"))).alias("scale"), F.min(positive).alias("least")
+    )
+    state = wanted.join(scale.hint("merge"), "key").withColumn("at_limit", F.col("target") >= max_rate * F.col("source_size").cast("double"))
+    low = F.ln(F.col("target") / F.col("source_size")) * F.col("scale") / F.col("least")
+    high = F.lit(math.log(max_rate)) * F.col("scale") / F.col("least")
+    done = F.col("at_limit") | (F.col("source_size") == 0) | (F.col("target") <= 0)
+    zero, half = F.lit(0.0), (F.col("lo") + F.col("hi")) / 2
+    state = state.withColumn("done", done).withColumns({"lo": F.when(~done, F.least(low, zero)), "hi": F.when(~done, F.greatest(high, zero))})
+    state = state.withColumns({"lo": F.when(F.col("target") >= F.col("source_size"), zero).otherwise(F.col("lo")), "hi": F.when(F.col("target") < F.col("source_size"), zero).otherwise(F.col("hi"))})
+    state = cut(state.withColumns({"lam": F.when(F.col("done"), zero).otherwise(half), "try0": zero, "try1": half, "try2": half / 1024}).drop("least"))
     for _ in range(steps):
         open_ = state.where(~F.col("done"))
-        x = F.try_divide(F.col("size"), F.col("scale"))
-        r = F.exp(F.col("lam") * x)
-        tokens = F.col("n") * F.col("size")
-        got = cells.join(open_.select("key", "lam", "scale").hint("merge"), "key").groupBy("key").agg(
-            F.sum(tokens * F.least(r, F.lit(float(max_rate)))).alias("g"),
-            F.sum(F.when(r < max_rate, tokens * x * r).otherwise(0.0)).alias("slope"),
-        )
+        x, tokens = F.try_divide(F.col("size"), F.col("scale")), F.col("n") * F.col("size")
+        sums = []
+        for i in range(3):
+            r = F.exp(F.col(f"try{i}") * x)
+            sums += [F.sum(tokens * F.least(r, F.lit(float(max_rate)))).alias(f"g{i}"), F.sum(F.when(r < max_rate, tokens * x * r).otherwise(0.0)).alias(f"s{i}")]
+        got = cells.join(open_.select("key", "scale", "try0", "try1", "try2").hint("merge"), "key").groupBy("key").agg(*sums)
         s = state.join(got.hint("merge"), "key", "left")
-        error = F.ln(F.col("target")) - F.ln(F.col("g"))
-        lo = F.when(error > 0, F.col("lam")).otherwise(F.col("lo"))
-        hi = F.when(error <= 0, F.col("lam")).otherwise(F.col("hi"))
-        step = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.try_divide(error * F.col("g"), F.col("slope"))))
-        step = F.when(F.col("slope") > 0, step).otherwise(F.signum(error))
-        s = s.withColumns({"error": error, "lo2": lo, "hi2": hi, "next": F.col("lam") + step})
-        outside = (F.col("next") <= F.col("lo2")) | (F.col("next") >= F.col("hi2"))
-        new = F.when(outside & F.col("lo2").isNotNull() & F.col("hi2").isNotNull(), (F.col("lo2") + F.col("hi2")) / 2).otherwise(F.col("next"))
-        keep = F.col("done") | (F.abs("error") < TOLERANCE)
-        state = cut(s.select("key", "source", "source_size", "target", "scale", "at_limit", F.when(keep, F.col("lam")).otherwise(new).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), keep.alias("done")))
+        tried = [F.struct(F.abs(F.ln("target") - F.ln(f"g{i}")).alias("error"), F.col(f"try{i}").alias("lam"), F.col(f"g{i}").alias("g"), F.col(f"s{i}").alias("slope")) for i in range(3)]
+        best = F.array_min(F.filter(F.array(*tried), lambda t: t["error"].isNotNull()))
+        below = [F.when(F.col(f"g{i}") < F.col("target"), F.col(f"try{i}")) for i in range(3)]
+        above = [F.when(F.col(f"g{i}") >= F.col("target"), F.col(f"try{i}")) for i in range(3)]
+        s = s.withColumns({"best": best, "lo": F.greatest("lo", *below), "hi": F.least("hi", *above)})
+        newton = F.col("best.lam") + F.try_divide((F.ln("target") - F.ln("best.g")) * F.col("best.g"), F.when(F.col("best.slope") > 0, F.col("best.slope")))
+        inside = (newton > F.col("lo")) & (newton < F.col("hi"))
+        geometric = F.when(F.col("lo") > 0, F.sqrt(F.col("lo")) * F.sqrt(F.col("hi"))).when(F.col("hi") < 0, -F.sqrt(-F.col("lo")) * F.sqrt(-F.col("hi")))
+        geometric = F.coalesce(geometric, F.when(F.col("lo") == 0, F.col("hi") / 1024).otherwise(F.col("lo") / 1024))
+        narrow = (half <= F.col("lo")) | (half >= F.col("hi"))  # no double lies between
+        s = s.withColumns({"keep": F.col("done") | (F.col("best.error") < TOLERANCE) | narrow, "next": F.when(inside, newton).otherwise(half)})
+        lam = F.when(F.col("done"), F.col("lam")).when(F.col("keep"), F.coalesce("best.lam", half)).otherwise(F.col("next"))
+        state = cut(s.select("key", "source", "source_size", "target", "at_limit", "scale", F.col("keep").alias("done"), "lo", "hi", lam.alias("lam"), F.col("next").alias("try0"), half.alias("try1"), geometric.alias("try2")))
         if state.where(~F.col("done")).isEmpty():
             break
-    else:
-        raise RuntimeError("the dual did not converge for every source")
     return state.select("key", "source", "source_size", "target", "at_limit", "scale", F.round("lam", 9).alias("lam"))
 
 
+def _band(size: Column) -> Column:
+    """Eight bands for each doubling of the size; a source of any size has some hundreds at most."""
+    return F.when(size > 0, F.floor(F.log2(size.cast("double")) * 8)).otherwise(F.lit(-1)).cast("int")
+
+
 def copies_by_cell(cells: DataFrame, tilted: DataFrame, max_rate: int = MAX_RATE) -> DataFrame:
     """Rows key, size, n, copies: whole copies for each cell of equal documents.
 
-    Down a source's sizes, copies follow the running sum of the rates, so the rounding error of the tokens is at most
-    half the largest size; a second walk over the sizes, largest first, then takes or gives back what is left over.
-    A source of W tokens has fewer than sqrt(2 W) sizes, which bounds what the walk holds.
+    Down a source's sizes, copies follow the running sum of the rates (in millionths), so the rounding error of the
+    tokens is at most half the largest size. The sum runs over bands of sizes first and then within each band, so no
+    task holds all sizes of a source. A second walk, over the most frequent sizes of each band, largest first, then
+    takes or gives back what is left over.
     """
     rate = F.when(F.col("at_limit"), F.lit(float(max_rate))).when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(max_rate)), F.exp(F.try_divide(F.col("lam") * F.col("size"), F.col("scale")))))
-    by_size = Window.partitionBy("key").orderBy(F.col("size").desc())
-    whole = F.floor(F.round(F.sum(F.round(F.col("n") * F.col("rate"), 6)).over(by_size), 4) + 0.5)
-    c = cells.join(tilted.select("key", "target", "at_limit", "lam", "scale"), "key").withColumn("rate", rate).withColumn("whole", whole)
-    c = c.withColumn("k", F.col("whole") - F.coalesce(F.lag("whole").over(by_size), F.lit(0)))
-    c = c.withColumn("k", F.greatest(F.lit(0), F.least(F.col("k"), max_rate * F.col("n"))).cast("bigint"))
-    sizes = c.where("size > 0").groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("size", "n", "k")), asc=False).alias("cells"),
-        (F.first("target") - F.sum(F.col("k") * F.col("size"))).alias("rest"),
-    )
+    c = cells.join(tilted.select("key", "target", "at_limit", "lam", "scale"), "key").withColumns({"part": F.round(F.col("n") * rate * 1_000_000).cast("bigint"), "band": _band(F.col("size"))})
+    bands = c.groupBy("key", "band").agg(F.sum("part").alias("in_band"))
+    down = Window.partitionBy("key").orderBy(F.col("band").desc())
+    bands = bands.select("key", "band", (F.sum("in_band").over(down) - F.col("in_band")).alias("before"))
+    within = Window.partitionBy("key", "band").orderBy(F.col("size").desc())
+    to = F.col("before") + F.sum("part").over(within)
+    whole = lambda at: F.floor((at + 500_000) / 1_000_000)
+    c = c.join(bands, ["key", "band"]).withColumn("to", to)
+    c = c.withColumn("k", F.greatest(F.lit(0), F.least(whole(F.col("to")) - whole(F.col("to") - F.col("part")), max_rate * F.col("n"))).cast("bigint"))
+    c = table(c.select("key", "size", "n", "k", "band", "target"))
+    common = Window.partitionBy("key", "band").orderBy(F.col("n").desc(), F.col("size").desc())
+    some = c.where("size > 0").withColumn("place", F.row_number().over(common)).where(F.col("place") <= WALK_CELLS)
+    some = some.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("size", "n", "k")), asc=False).alias("cells"))
+    taken = c.groupBy("key").agg((F.first("target") - F.sum(F.col("k") * F.col("size"))).alias("rest"))
+    sizes = some.join(taken, "key")
     start = F.struct(F.col("rest").cast("double").alias("rest"), F.array().cast("array<struct<size:bigint,delta:bigint>>").alias("moves"))
 
     def walk(a: Column, x: Column) -> Column:
