@@ -142,6 +142,12 @@ def profile(c: Column) -> Column:
     return F.when(p.rlike(r"^[A-Za-z0-9_-]+\z"), p).when(p == "", F.lit(None)).otherwise(F.when(p.isNotNull(), F.raise_error(F.lit("profile must contain only letters, numbers, hyphens, or underscores.")).cast("string")))
 
 
+def effort(c: Column) -> Column:
+    """A reasoning effort in small letters, null stays; raises for anything but low, medium and high."""
+    e = F.lower(js_trim(c))
+    return F.when(e.isin("low", "medium", "high"), e).otherwise(F.when(c.isNotNull(), F.raise_error(F.concat(F.lit("no reasoning effort: "), c)).cast("string")))
+
+
 def prompt_name(c: Column) -> Column:
     """A prompt's name without .md, or null if it has other characters than letters, digits, dot, dash, underscore."""
     name = F.regexp_replace(js_trim(c), r"(?i)\.md\z", "")

@@ -61,7 +61,7 @@ def raw_text_sections(raw: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def page_text(runs: Column) -> Column:
-    """Text of a page's positioned runs in reading order: by line, then from left to right, each followed by a space.
+    """Text of a page's positioned runs in reading order: by line, then from left to right, each followed by a space; empty runs are passed over.
 
     Down the page, a run starts a new line if its y is the tolerance or more below the run before it; runs at one place
     keep their order. So runs that are closer than the tolerance are always read from left to right.
@@ -76,7 +76,7 @@ def page_text(runs: Column) -> Column:
         return F.struct(line.alias("line"), r["y"].alias("y"), F.concat(a["out"], F.array(one)).alias("out"))
 
     placed = F.array_sort(F.aggregate(down, start, place, lambda a: a["out"]))
-    parts = F.flatten(F.transform(placed, lambda r: F.transform(r["R"], lambda t: F.concat(uri_decode(t["T"]), F.lit(" ")))))
+    parts = F.flatten(F.transform(placed, lambda r: F.transform(F.filter(r["R"], lambda t: t["T"] != ""), lambda t: F.concat(uri_decode(t["T"]), F.lit(" ")))))
     return F.array_join(parts, "")
 
 

@@ -52,7 +52,9 @@ def retry_after_ms(header: Column, message: Column, now: Column | None = None) -
     seconds = F.when(F.trim(header) != "", F.trim(header).try_cast("double"))
     seconds = F.when(F.isnan(seconds) | F.abs(seconds).isin(float("inf")), F.lit(None)).otherwise(seconds)
     now = F.unix_millis(F.current_timestamp()) if now is None else now
-    at = F.try_to_timestamp(F.regexp_extract(header, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    # the zone is part of what is parsed, so that the session's does not count
+    date = F.regexp_extract(F.trim(header), r"^[A-Za-z]{3}, (\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    at = F.try_to_timestamp(F.concat(date, F.lit(" +0000")), F.lit("d MMM yyyy HH:mm:ss Z"))
     dated = F.when(at.isNotNull(), F.greatest(F.lit(0.0), (F.unix_millis(at) - now).cast("double")))
     by_header = F.coalesce(F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds * 1000)), dated)
     asked = F.regexp_extract(F.coalesce(message, F.lit("")), RETRY_DELAY, 1).try_cast("double") * 1000

@@ -357,12 +357,17 @@ def n7_backoff(spark, d):
     return read(spark, d, "events").select("event_id", retry.backoff_ms(attempt).alias("backoff"), retry.delay_ms(attempt, server, F.lit(0.25)).cast("double").alias("delay"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id % 90 * 1000 AS DOUBLE) WHEN 1 THEN NULL WHEN 2 THEN (event_id % 60 + 0.5) * 1000 END AS wait FROM events")
+_NOW_MS = 1445412480000  # Wed, 21 Oct 2015 07:28:00 GMT
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, value, CASE event_id % 5 WHEN 0 THEN CAST(round(abs(value), 2) AS VARCHAR) WHEN 1 THEN event_type WHEN 2 THEN strftime(TIMESTAMP '2015-10-21 07:00:00' + to_seconds(CAST(floor(value * 20) AS BIGINT)), '%a, %d %b %Y %H:%M:%S GMT') END AS header FROM events)
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(header AS DOUBLE) * 1000 WHEN 2 THEN CAST(greatest(0, epoch_ms(strptime(header, '%a, %d %b %Y %H:%M:%S GMT')) - {_NOW_MS}) AS DOUBLE) WHEN 3 THEN CAST(CAST(round(value, 1) AS VARCHAR) AS DOUBLE) * 1000 END AS wait FROM e""")
 def n8_retry_after(spark, d):
-    k = F.col("event_id") % 4
-    header = F.when(k == 0, (F.col("event_id") % 90).cast("string")).when(k == 1, F.lit("soon"))
-    message = F.when(k != 3, F.concat(F.lit('{"retryDelay" : "'), (F.col("event_id") % 60).cast("string"), F.lit('.5s"}')))
-    return read(spark, d, "events").select("event_id", retry.retry_after_ms(header, message).cast("double").alias("wait"))
+    k, value = F.col("event_id") % 5, F.col("value")
+    date = F.date_format(F.expr("timestamp_ntz'2015-10-21 07:00:00' + make_dt_interval(0, 0, 0, floor(value * 20))"), "EEE, dd MMM yyyy HH:mm:ss")
+    header = F.when(k == 0, F.round(F.abs(value), 2).cast("string")).when(k == 1, F.col("event_type")).when(k == 2, F.concat(date, F.lit(" GMT")))
+    message = F.when(k != 4, F.concat(F.lit('{"retryDelay" : "'), F.round(value, 1).cast("string"), F.lit('s"}')))
+    return read(spark, d, "events").select("event_id", retry.retry_after_ms(header, message, F.lit(_NOW_MS)).cast("double").alias("wait"))
 
 
 def _answers(spark, d):

@@ -163,7 +163,7 @@ def o1_reading_order(spark, d):
     pages = _conversation_pages(spark, d)
     run = lambda x, y, t: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.array(F.struct(t.alias("T"))).alias("R"))
     first = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("+"))
-    runs = F.array(run(9.0, 1.09, F.lit("a")), run(2.0, 1.04, F.lit("b")), run(0.0, 1.0, first))
+    runs = F.array(run(9.0, 1.09, F.lit("a")), run(2.0, 1.04, F.lit("b")), run(3.0, 1.04, F.lit("")), run(0.0, 1.0, first))
     out = assemble.pages_from_runs(pages.select("book_id", "page_no", runs.alias("runs")))
     return out.select("book_id", F.col("page_no").cast("bigint").alias("page_no"), "text")
 

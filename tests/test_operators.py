@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import text
 from quire.operators import assemble, cards, edits, filters, generate, meta, retry, selectors, summary, validate
 from quire.sources import books, settings, sinks
 
@@ -231,13 +232,59 @@ def test_settings(tmp_path):
     assert settings.load(str(f)).preview_chars == 120
     f.write_text("{")
     assert settings.load(str(f)).provider == "gemini"
-    f.write_text(json.dumps({"epub": {"previewChars": "twelve", "filters": {"titles": [{"type": "regex", "pattern": "("}, {"type": "string", "value": "X"}, {"type": "string", "value": "X"}]}}, "previewChars": 80, "provider": "anthropic", "output": {"path": "o", "paths": {"md": "m", "json": 3}}, "unknown": 1}))
+    f.write_text(json.dumps({"epub": {"previewChars": "twelve", "filters": {"titles": [{"type": "regex", "pattern": "("}, {"type": "string", "value": "X"}, {"type": "string", "value": "X"}]}}, "previewChars": 80, "defaultProvider": "anthropic", "output": {"path": "o", "paths": {"md": "m", "json": 3}}, "unknown": 1}))
     s = settings.load(str(f))
-    assert (s.preview_chars, s.provider, s.output_path, s.output_paths) == (80, "anthropic", "o", {"md": "m"})
+    assert (s.preview_chars, s.provider, s.output_path, s.output_paths) == (120, "anthropic", "o", {"md": "m"})
     assert len(s.title_rules) == len(filters.DEFAULT_TITLE_RULES) + 1
     assert sinks.output_path("anki", None, s.output_paths, s.output_path) == "o.apkg" and sinks.output_path("md", None, s.output_paths) == "m.md" and sinks.output_path("json", "a.json") == "a.json"
 
 
+def test_settings_of_today_and_of_old():
+    today = settings.from_dict({
+        "output": {"path": "out", "paths": {"anki": "decks"}},
+        "generation": {"defaultProvider": "codex", "defaultPrompt": "short", "providers": {"gemini": {}, "openai": {"defaultModel": "gpt-x"}, "codex": {"defaultModel": "gpt-z", "reasoningEffort": " HIGH ", "profile": "work"}, "deepseek": {"reasoningEffort": "most"}}},
+        "epub": {"preview": True, "previewChars": 12.0, "filters": {"titles": [{"type": "regex", "pattern": "^A", "flags": "i"}, {"type": "regex", "pattern": "b", "flags": 3}]}},
+    })
+    assert (today.provider, today.prompt, today.preview, today.preview_chars, today.output_path, today.output_paths) == ("codex", "short", True, 12, "out", {"anki": "decks"})
+    assert today.models == settings.DEFAULT_MODELS | {"openai": "gpt-x", "codex": "gpt-z"}
+    assert today.efforts == {"codex": "high"} and today.profiles == {"codex": "work"}
+    assert today.title_rules[-1] == {"type": "regex", "pattern": "^A", "flags": "i"} and len(today.title_rules) == len(filters.DEFAULT_TITLE_RULES) + 1
+    old = settings.from_dict({"outputPath": "o", "defaultProvider": "openai", "defaultPrompt": "p", "providers": {"openai": {"defaultModel": "gpt-old"}, "codex": {"reasoningEffort": "bad", "profile": "a b"}}, "epubFilters": {"titles": [{"type": "string", "value": "Z"}]}})
+    assert (old.provider, old.prompt, old.output_path, old.models["openai"], old.efforts, old.profiles) == ("openai", "p", "o", "gpt-old", {"codex": "medium"}, {})
+    assert old.title_rules[-1] == {"type": "string", "value": "Z"}
+    both = settings.from_dict({"generation": {"defaultProvider": "none", "providers": {"openai": {}}}, "defaultProvider": "anthropic", "providers": {"openai": {"defaultModel": "gpt-old"}}})
+    assert both.provider == "anthropic" and both.models["openai"] == settings.DEFAULT_MODELS["openai"]  # an entry is taken whole
+    for bad in ({}, None, [], "x", {"epub": {"previewChars": True}}, {"epub": {"previewChars": 1.5}}, {"generation": []}):
+        assert settings.from_dict(bad) == settings.Settings()
+    assert settings.effort(" Low ", "x") == "low" and settings.effort(None, "x") is None and settings.profile("  ", "x") is None
+    for f, bad in ((settings.effort, "most"), (settings.effort, 3), (settings.profile, "a b"), (settings.profile, 0)):
+        with pytest.raises(ValueError, match="settings"):
+            f(bad, "settings")
+
+
+def test_dates_do_not_depend_on_the_session(spark):
+    h = spark.sql("select * from values ('Wed, 21 Oct 2015 07:28:05 GMT'), ('Wed, 21 Oct 2015 07:27:00 GMT'), ('Sun, 6 Nov 1994 08:49:37 GMT'), ('Wed, 21 Oct 2015 07:28:05') t(h)")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in h.select(retry.retry_after_ms(F.col("h"), F.lit(None).cast("string"), F.lit(1445412480000))).collect()] == [5000.0, 0.0, 0.0, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_empty_runs_are_passed_over(spark):
+    runs = "array(named_struct('x', 0d, 'y', 1d, 'R', array(named_struct('T', 'a'), named_struct('T', ''), named_struct('T', cast(null as string)))), named_struct('x', 5d, 'y', 1d, 'R', array(named_struct('T', 'b'))))"
+    assert spark.range(1).select(assemble.page_text(F.expr(runs))).first()[0] == "a b "
+
+
+def test_efforts(spark):
+    d = spark.createDataFrame([(" High ",), (None,)], "e string")
+    assert [r[0] for r in d.select(text.effort(F.col("e"))).collect()] == ["high", None]
+    with pytest.raises(Exception, match="no reasoning effort"):
+        spark.createDataFrame([("most",)], "e string").select(text.effort(F.col("e"))).collect()
+
+
 def test_distinct_rules(spark):
     r = filters.rules_table(spark, [{"type": "string", "value": "a"}], [{"type": "string", "value": "a"}, {"type": "regex", "pattern": "a"}])
     assert rows(filters.distinct_rules(r).select("ord", "type")) == [(0, "string"), (2, "regex")]
@@ -394,13 +441,13 @@ def test_arguments():
 
 
 def test_plans_of_a_run(spark, tmp_path):
-    s = settings.Settings(provider="gemini", models={"gemini": "gemini-x", "codex": "gpt-y"}, effort="low")
+    s = settings.Settings(provider="gemini", models={"gemini": "gemini-x", "codex": "gpt-y"}, efforts={"codex": "low"})
     assert generate.resolve_plan(s, "p") == generate.Plan("gemini", "gemini-x", "p")
     assert generate.resolve_plan(s, "p", "codex") == generate.Plan("codex", "gpt-y", "p", None, "low")
-    with pytest.warns(UserWarning, match="may not belong"):
+    with pytest.warns(UserWarning, match="does not look like"):
         assert generate.resolve_plan(s, "p", "openai").model == "gemini-x"
-    with pytest.raises(ValueError, match="Model is required"):
-        generate.resolve_plan(settings.Settings(), "p")
+    with pytest.raises(ValueError, match="no model is set"):
+        generate.resolve_plan(settings.Settings(models={}), "p")
     assert generate.key_of(" openai ", {"OPENAI_API_KEY": "k"}) == ("OPENAI_API_KEY", "k")
     models = spark.createDataFrame([("openai", "GPT-5"), ("openai", "claude"), ("openrouter", "a/b"), ("none", "x")], "p string, m string")
     assert [r[0] for r in models.select(generate.odd_model(F.col("p"), F.col("m"))).collect()] == [False, True, False, None]
