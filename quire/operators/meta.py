@@ -33,8 +33,9 @@ def epub_metadata(books: DataFrame) -> DataFrame:
 
 
 def pdf_metadata(books: DataFrame) -> DataFrame:
-    """books: book_id, file_name, info (map), meta_title, meta_author, version, total, extracted, index_size, index_pages (null without an index)."""
+    """books: book_id, file_name, info (map), meta_title, meta_author, version, total, extracted, index_size, index_pages (null without an index); has_acro_form and has_xfa, if known."""
     c = F.col
+    forms = [F.coalesce(c(k), F.lit(False)).alias(n) for k, n in (("has_acro_form", "hasAcroForm"), ("has_xfa", "hasXFA")) if k in books.columns]
     info = lambda k: F.try_element_at(c("info"), F.lit(k))
     indexed = c("index_size").isNotNull()
     return books.select(
@@ -45,7 +46,7 @@ def pdf_metadata(books: DataFrame) -> DataFrame:
         c("extracted").alias("extractedSections"), F.lit(0).alias("filteredSections"),
         F.when(indexed, F.concat(F.lit("Chapters 1-"), c("index_size").cast("string"))).otherwise("All Pages").alias("extractedRange"),
         F.when(indexed, "pdf-parse-with-index").otherwise("pdf-parse-single-text").alias("processingMethod"),
-        c("version").alias("pdfVersion"), indexed.alias("hasIndex"), F.coalesce(c("index_size"), F.lit(0)).alias("indexChapters"),
+        c("version").alias("pdfVersion"), *forms, indexed.alias("hasIndex"), F.coalesce(c("index_size"), F.lit(0)).alias("indexChapters"),
     )
 
 

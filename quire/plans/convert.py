@@ -22,10 +22,11 @@ class Converted:
     audit: DataFrame | None = None
 
 
-def epub(spark: SparkSession, path: str, start=None, end=None, exclude: str | None = None, min_chars: int | None = None, rules: list[dict] | None = None, full_fidelity: bool = False) -> Converted:
+def epub(spark: SparkSession, path: str, start=None, end=None, exclude: str | None = None, min_chars: int | None = None, rules: list[dict] | None = None, full_fidelity: bool = False, parts: DataFrame | None = None) -> Converted:
     """EPUB files. Options are checked before a file is read; a range outside a book fails when that book is reached.
 
-    Full fidelity leaves the title rules out.
+    Full fidelity leaves the title rules out. Each table opens an archive once; parts: rows of read_epub_parts or of
+    the epub data source, where they are read or stored already.
     """
     first, last = selectors.section_number(start, "startChapter"), selectors.section_number(end, "endChapter")
     if (first is not None and first < 1) or (last is not None and last < 1):
@@ -33,29 +34,38 @@ def epub(spark: SparkSession, path: str, start=None, end=None, exclude: str | No
     if first is not None and last is not None and first > last:
         raise ValueError("startChapter must be less than or equal to endChapter.")
     excluded = selectors.parse_exclude(exclude)
-    chapters = books.chapters(books.read_epub(spark, path, first, last, excluded))
-    total = F.count(F.lit(1)).over(Window.partitionBy("book_id"))
+    chapters = books.chapters(books.read_epub_parts(spark, path, first, last, excluded) if parts is None else parts)
+    total = F.count_if(F.col("ord") > 0).over(Window.partitionBy("book_id"))
     chapters = chapters.withColumns({"total": total, "first": F.lit(first or 1)}).withColumn("last", F.coalesce(F.lit(last), F.col("total")).cast("int"))
     fault = (F.col("first") > F.col("total")) | (F.col("last") > F.col("total"))
     message = F.concat(F.lit("The chapter range must be within 1 and "), F.col("total").cast("string"))
     chapters = chapters.where(F.when(fault, F.raise_error(message).cast("boolean")).otherwise(True))
-    marked = filters.with_reason(chapters, start=F.col("first"), end=F.col("last"), excluded=excluded, min_chars=min_chars, rules=[] if full_fidelity else rules)
+    everything = filters.with_reason(chapters, start=F.col("first"), end=F.col("last"), excluded=excluded, min_chars=min_chars, rules=[] if full_fidelity else rules)
+    marked = everything.where("ord > 0")
     number = F.row_number().over(Window.partitionBy("book_id").orderBy("ord"))
     sections = marked.where("filter_reason is null").select("book_id", number.alias("index"), "title", "text", F.col("ord").alias("original_chapter_index"))
     sections = assemble.clean_sections(sections)
-    counts = marked.groupBy("book_id").agg(F.max("first").alias("first"), F.max("last").alias("last"), F.count_if(F.col("filter_reason").isNull()).alias("extracted"), F.count_if(F.col("filter_reason").isNotNull()).alias("filtered"))
-    metadata = meta.epub_metadata(books.epub_metadata_table(spark, path).join(counts, "book_id"))
+    chapter = F.col("ord") > 0
+    counts = everything.groupBy("book_id").agg(
+        F.first(F.when(~chapter, F.col("facts")), ignorenulls=True).alias("facts"), F.max("first").alias("first"), F.max("last").alias("last"),
+        F.count_if(chapter & F.col("filter_reason").isNull()).alias("extracted"), F.count_if(chapter & F.col("filter_reason").isNotNull()).alias("filtered"),
+    )
+    metadata = meta.epub_metadata(counts.select("book_id", *books.epub_facts(F.col("facts")), "first", "last", "extracted", "filtered"))
     return Converted(metadata, sections, assemble.plain_text(sections), marked.select("book_id", "ord", "title", "filter_reason", "error"))
 
 
-def pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None] | dict], index_path: str | None = None, index_ranges: str | None = None, min_chars: int | None = None) -> Converted:
+def pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None] | dict], index_path: str | None = None, index_ranges: str | None = None, min_chars: int | None = None, store: str | None = None) -> Converted:
     """PDF files through an extractor of page texts and facts; the index is resolved and checked before a file is read.
 
-    A file whose pages give no section gives its raw text, if the extractor has one.
+    A file whose pages give no section gives its raw text, if the extractor has one. store: a folder to which what was
+    extracted is written first, so that the extractor runs once a file for all tables.
     """
     entries = selectors.resolve_index(index_path, index_ranges)
-    pages = books.read_pdf(spark, path, extract)
-    files = books.read_pdf_info(spark, path, extract)
+    parts = books.read_pdf_parts(spark, path, extract)
+    if store is not None:
+        parts.write.mode("errorifexists").parquet(store)
+        parts = spark.read.parquet(store)
+    pages, files = parts.where("page_no > 0").drop("facts"), books.pdf_info(parts.where("page_no = 0"))
     totals = files.select("book_id", F.col("total").alias("total_pages"))
     names = files.select("book_id", "file_name")
     if entries:

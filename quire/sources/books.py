@@ -12,10 +12,10 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.schema import BOOK, PAGES, RAW_CHAPTERS
+from quire.functions.schema import BOOK, PAGES
 from quire.functions.text import clean_html, js_trim
 from quire.operators.cards import issue_table
 from quire.operators.selectors import section_number
@@ -50,12 +50,13 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def epub_parts(data: bytes, wanted: Callable[[int], bool] = lambda n: True) -> tuple[dict, list[tuple[int, str | None, str | None, str | None]]]:
-    """Metadata and (ord, title, html, error) of each spine item; a broken chapter has an error and no text.
+def epub_chapters(file, wanted: Callable[[int], bool] = lambda n: True) -> Iterator[tuple[int, str | None, str | None, str | None, dict[str, str] | None]]:
+    """Rows (ord, title, html, error, facts) of an open archive: 0 for the book with its facts, then each spine item.
 
-    Chapters that are not wanted are listed, but not read.
+    A broken chapter has an error and no text. Chapters that are not wanted are listed, but not read; one chapter is
+    held at a time.
     """
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(file) as z:
         container = ElementTree.fromstring(z.read("META-INF/container.xml"))
         opf_path = next(e.get("full-path") for e in container.iter() if _local(e.tag) == "rootfile")
         opf = ElementTree.fromstring(z.read(opf_path))
@@ -68,9 +69,10 @@ def epub_parts(data: bytes, wanted: Callable[[int], bool] = lambda n: True) -> t
             if name == "identifier" and e.text and "isbn" in " ".join([*e.attrib.values(), e.text]).lower():
                 meta.setdefault("isbn", e.text)
         items = {e.get("id"): e for e in opf.iter() if _local(e.tag) == "item"}
-        titles = _toc_titles(z, base, items)
-        out = []
-        for n, ref in enumerate((e for e in opf.iter() if _local(e.tag) == "itemref"), 1):
+        spine = [e for e in opf.iter() if _local(e.tag) == "itemref"]
+        yield 0, meta.get("title"), None, None, meta | {"total": str(len(spine))}
+        titles = _toc_titles(z, base, items) if spine else {}
+        for n, ref in enumerate(spine, 1):
             item = items.get(ref.get("idref"))
             href = unquote(item.get("href", "")) if item is not None else ""
             href, html, error = posixpath.normpath(href), None, None
@@ -79,19 +81,25 @@ def epub_parts(data: bytes, wanted: Callable[[int], bool] = lambda n: True) -> t
                     html = z.read(posixpath.normpath(posixpath.join(base, href))).decode("utf-8", "replace")
                 except Exception as e:  # whatever is wrong with one chapter leaves the others readable
                     error = str(e) or type(e).__name__
-            out.append((n, titles.get(href), html, error))
-        return meta, out
+            yield n, titles.get(href), html, error, None
+
+
+def epub_parts(data: bytes, wanted: Callable[[int], bool] = lambda n: True) -> tuple[dict, list[tuple[int, str | None, str | None, str | None]]]:
+    """Metadata and (ord, title, html, error) of each spine item of an archive's bytes."""
+    (_, _, _, _, facts), *chapters = epub_chapters(io.BytesIO(data), wanted)
+    return {k: v for k, v in facts.items() if k != "total"}, [c[:4] for c in chapters]
 
 
 def _toc_titles(z: zipfile.ZipFile, base: str, items: dict) -> dict[str, str]:
     """Chapter titles by file, from the NCX table of contents and, for files it leaves out, the navigation document."""
     out: dict[str, str] = {}
 
-    def root(item):
+    def parts(item, tag: str) -> list:
         try:
-            return ElementTree.fromstring(z.read(posixpath.normpath(posixpath.join(base, item.get("href", "")))))
+            tree = ElementTree.fromstring(z.read(posixpath.normpath(posixpath.join(base, item.get("href", "")))))
         except (KeyError, ElementTree.ParseError):
-            return ()
+            return []
+        return [e for e in tree.iter() if _local(e.tag) == tag]
 
     def add(folder: str, src: str | None, label: str | None) -> None:
         if label and label.strip() and src:
@@ -99,51 +107,60 @@ def _toc_titles(z: zipfile.ZipFile, base: str, items: dict) -> dict[str, str]:
 
     for item in items.values():
         if item.get("media-type") == "application/x-dtbncx+xml":
-            for point in (e for e in root(item) and root(item).iter() if _local(e.tag) == "navPoint"):
+            for point in parts(item, "navPoint"):
                 add("", next((e.get("src") for e in point.iter() if _local(e.tag) == "content"), None), next((e.text for e in point.iter() if _local(e.tag) == "text"), None))
     for item in items.values():
         if "nav" in item.get("properties", "").split():
             folder = posixpath.dirname(item.get("href", ""))
-            for nav in (e for e in root(item) and root(item).iter() if _local(e.tag) == "nav"):
+            for nav in parts(item, "nav"):
                 for link in (e for e in nav.iter() if _local(e.tag) == "a"):
                     add(folder, link.get("href"), "".join(link.itertext()))
     return out
 
 
-def read_epub(spark: SparkSession, path: str, start=None, end=None, excluded: list[int] | None = None) -> DataFrame:
-    """raw_chapters of EPUB files in spine order; chapters outside the selection are listed, but their text is not read."""
+EPUB_PARTS = "book_id string, ord int, title string, html string, error string, facts map<string,string>"
+
+
+def read_epub_parts(spark: SparkSession, path: str, start=None, end=None, excluded: list[int] | None = None) -> DataFrame:
+    """Rows of EPUB files by one open of each: ord 0 is the book with its facts, then its chapters in spine order.
+
+    Chapters outside the selection are listed, but their text is not read. This reader takes any store that Spark
+    reads; the data source of quire.sources.files pushes filters down and fetches parts of an archive.
+    """
     a, b, skip = section_number(start, "startChapter"), section_number(end, "endChapter"), frozenset(excluded or ())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for book, data in zip(f["path"], f["content"]):
                 try:
-                    _, chapters = epub_parts(data, lambda n: n not in skip and (a or 1) <= n <= (b or n))
+                    rows = [(book, n, title, html, error, {"file_name": posixpath.basename(book), **facts} if facts is not None else None) for n, title, html, error, facts in epub_chapters(io.BytesIO(data), lambda n: n not in skip and (a or 1) <= n <= (b or n))]
                 except Exception as e:
                     raise ValueError(f"Failed to parse EPUB: {e}") from e
-                rows = [(book, *c) for c in chapters]
-                yield pd.DataFrame(rows, columns=["book_id", "ord", "title", "html", "error"])
+                yield pd.DataFrame(rows, columns=["book_id", "ord", "title", "html", "error", "facts"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RAW_CHAPTERS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, EPUB_PARTS)
 
 
-def epub_metadata_table(spark: SparkSession, path: str) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for book, data in zip(f["path"], f["content"]):
-                meta, chapters = epub_parts(data, lambda n: False)
-                yield pd.DataFrame([{"book_id": book, "file_name": posixpath.basename(book), **{k: meta.get(k) for k in ("title", "creator", "publisher", "date", "language", "isbn")}, "total": len(chapters)}])
+def read_epub(spark: SparkSession, path: str, start=None, end=None, excluded: list[int] | None = None) -> DataFrame:
+    """raw_chapters of EPUB files in spine order; chapters outside the selection are listed, but their text is not read."""
+    return read_epub_parts(spark, path, start, end, excluded).where("ord > 0").drop("facts")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "book_id string, file_name string, title string, creator string, publisher string, date string, language string, isbn string, total int")
+def epub_facts(facts: Column) -> list[Column]:
+    """The facts of a book as columns: file_name, title, creator, publisher, date, language, isbn and the number of its chapters."""
+    of = lambda k: F.try_element_at(facts, F.lit(k))
+    return [*[of(k).alias(k) for k in ("file_name", "title", "creator", "publisher", "date", "language", "isbn")], of("total").cast("int").alias("total")]
+
+
+def epub_metadata_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each EPUB file with its facts; no chapter is read."""
+    return read_epub_parts(spark, path, excluded=None, start=1 << 30).where("ord = 0").select("book_id", *epub_facts(F.col("facts")))
 
 
 def chapters(raw: DataFrame) -> DataFrame:
     """raw_chapters as chapters of clean text; untitled ones are called by their number."""
     title = F.when(js_trim(F.coalesce("title", F.lit(""))) != "", F.col("title")).otherwise(F.concat(F.lit("Section "), F.col("ord").cast("string")))
-    return raw.select("book_id", "ord", title.alias("title"), clean_html(F.col("html")).alias("text"), "error")
-
-
-PDF_INFO = "book_id string, file_name string, raw_text string, info map<string,string>, meta_title string, meta_author string, version string, total int"
+    return raw.select("book_id", "ord", title.alias("title"), clean_html(F.col("html")).alias("text"), "error", *[c for c in ("facts",) if c in raw.columns])
 
 
 def _extracted(found) -> dict:
@@ -162,25 +179,53 @@ def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], list[str
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PAGES)
 
 
-def read_pdf_info(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None] | dict]) -> DataFrame:
-    """A row for each PDF file: its information dictionary, the title and author of its metadata, version, raw text and page count.
+def _flag(value) -> str | None:
+    return str(value).lower() if isinstance(value, bool) else None
+
+
+def pdf_facts(found) -> tuple[list[str | None], str | None, dict[str, str]]:
+    """Page texts, raw text and facts of what an extractor gave; facts have strings only.
 
     The page count is what the extractor says, else the number of pages; the metadata's own `_metadata` is unwrapped;
-    values that are no strings are left out of info.
+    form flags stand in the information dictionary as IsAcroFormPresent and IsXFAPresent.
     """
+    x = _extracted(found)
+    info = {k: v for k, v in (x.get("info") or {}).items() if isinstance(v, str)}
+    own = x.get("metadata") or {}
+    own = own.get("_metadata") or own
+    pages = list(x.get("pages") or [])
+    named = {f"meta.{k}": own.get(k) for k in ("title", "author")} | {"version": info.get("PDFFormatVersion", "").strip() and info["PDFFormatVersion"]}
+    flags = {"acro_form": _flag((x.get("info") or {}).get("IsAcroFormPresent")), "xfa": _flag((x.get("info") or {}).get("IsXFAPresent"))}
+    facts = {f"info.{k}": v for k, v in info.items()} | {k: v for k, v in (named | flags).items() if isinstance(v, str) and v}
+    return pages, x.get("text"), facts | {"total": str(x.get("total") or len(pages))}
+
+
+def pdf_info(files: DataFrame) -> DataFrame:
+    """book_id, file_name, raw_text, info, meta_title, meta_author, version, total, has_acro_form, has_xfa from the rows of page 0 (book_id, text, facts) of a PDF source."""
+    fact = lambda k: F.try_element_at("facts", F.lit(k))
+    info = F.map_from_entries(F.transform(F.filter(F.map_entries("facts"), lambda e: F.startswith(e["key"], F.lit("info."))), lambda e: F.struct(F.substring(e["key"], F.lit(6), F.length(e["key"])), e["value"])))
+    return files.select(
+        "book_id", fact("file_name").alias("file_name"), F.col("text").alias("raw_text"), info.alias("info"), fact("meta.title").alias("meta_title"), fact("meta.author").alias("meta_author"),
+        fact("version").alias("version"), fact("total").cast("int").alias("total"), fact("acro_form").cast("boolean").alias("has_acro_form"), fact("xfa").cast("boolean").alias("has_xfa"),
+    )
+
+
+def read_pdf_parts(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None] | dict]) -> DataFrame:
+    """Rows book_id, page_no, text, facts of PDF files: page 0 is the file, with its raw text and facts. One extraction a file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for book, data in zip(f["path"], f["content"]):
-                x = _extracted(extract(data))
-                info = {k: v for k, v in (x.get("info") or {}).items() if isinstance(v, str)}
-                own = x.get("metadata") or {}
-                own = own.get("_metadata") or own
-                text = lambda v: v if isinstance(v, str) else None
-                version = info.get("PDFFormatVersion", "")
-                yield pd.DataFrame([{"book_id": book, "file_name": posixpath.basename(book), "raw_text": x.get("text"), "info": info, "meta_title": text(own.get("title")), "meta_author": text(own.get("author")), "version": version if version.strip() else None, "total": x.get("total") or len(x.get("pages") or [])}])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PDF_INFO)
+                pages, text, facts = pdf_facts(extract(data))
+                rows = [(book, 0, text, {"file_name": posixpath.basename(book), **facts}), *[(book, n, t, None) for n, t in enumerate(pages, 1)]]
+                yield pd.DataFrame(rows, columns=["book_id", "page_no", "text", "facts"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "book_id string, page_no int, text string, facts map<string,string>")
+
+
+def read_pdf_info(spark: SparkSession, path: str, extract: Callable[[bytes], list[str | None] | dict]) -> DataFrame:
+    """A row for each PDF file: its information dictionary, the title and author of its metadata, version, raw text, page count and form flags."""
+    return pdf_info(read_pdf_parts(spark, path, extract).where("page_no = 0"))
 
 
 def read_decks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
