@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.ordering import numbered
+
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)")
 _BULLET = re.compile(r"[-*+][ \t]+\S")
 _EMPTY_BULLET = re.compile(r"[-*+][ \t]*")
@@ -161,3 +163,8 @@ def deck_markdown(cards: DataFrame, title: str = "Deck") -> DataFrame:
     text = rendered(F.col("heading_text"), F.col("front_body"), F.col("back"), F.col("has_separator"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_index", "card_ord", text.alias("t")))), lambda x: x["t"]), "\n\n")
     return cards.groupBy("book_id").agg(F.concat(F.lit(f"# {title.strip() or 'Deck'}\n\n"), body, F.lit("\n")).alias("markdown"), F.count(F.lit(1)).alias("cards"))
+
+
+def number_cards(cards: DataFrame, parts: int | None = None) -> DataFrame:
+    """All cards of all books in one order, by book, section and place in it, with their place n from 1: what a run over all books would have gathered."""
+    return numbered(cards, "book_id", "section_index", "card_ord", parts=parts)

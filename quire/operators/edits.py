@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +84,85 @@ def can_undo(stack: Column) -> Column:
 
 def clear(stack: Column) -> Column:
     return F.slice(stack, F.lit(1), F.lit(0))
+
+
+REMOVED = "book_id string, place int, seq bigint, undoable boolean"
+
+
+class Alive:
+    """Which of n places are left, with the k-th of them found in log n steps: a tree of counts over powers of two."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+        self.counts = [i & -i for i in range(n + 1)]
+        self.left = n
+
+    def add(self, place: int, d: int) -> None:
+        self.left += d
+        while place <= self.n:
+            self.counts[place] += d
+            place += place & -place
+
+    def find(self, k: int) -> int:
+        """The place of the k-th one left, from 1."""
+        at = 0
+        for step in (1 << b for b in reversed(range(self.n.bit_length()))):
+            if at + step <= self.n and self.counts[at + step] < k:
+                at += step
+                k -= self.counts[at]
+        return at + 1
+
+
+def removed_by(sections: DataFrame, log: DataFrame, most: int = MAX_UNDO) -> DataFrame:
+    """Rows book_id, place, seq, undoable: the sections (by their place from 1) that a log of edits leaves deleted.
+
+    log has book_id, seq, op and index, and is replayed by seq: `delete` takes the section that has the index by then,
+    as sections are numbered anew after each edit; an index that no section has is passed over. `undo` puts the last
+    deleted one back at its place; only the last `most` deletions can be taken back (0: all), and an undo without any
+    is passed over. Since deletions are taken back last first, sections never change their order, so a book needs a
+    bit and a count a section and its stack, whatever the length of its log. Equal seq go by op and index; books
+    without sections, and ops of other names, are passed over.
+    """
+    sizes = sections.groupBy("book_id").agg(F.count(F.lit(1)).alias("index")).select("book_id", F.lit(None).cast("bigint").alias("seq"), F.lit("size").alias("op"), "index")
+    steps = sizes.unionByName(log.select("book_id", F.col("seq").cast("bigint").alias("seq"), "op", F.col("index").cast("bigint").alias("index")).where("seq is not null and book_id is not null"))
+    # a book's rows are streamed in order: its size first, then its edits
+    steps = steps.repartition("book_id").sortWithinPartitions("book_id", F.asc_nulls_first("seq"), "op", "index")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, alive, stack, gone = None, None, deque(), {}
+
+        def rest() -> pd.DataFrame:
+            can = {p for p, _ in stack}
+            return pd.DataFrame([(book, p, s, p in can) for p, s in gone.items()], columns=["book_id", "place", "seq", "undoable"])
+
+        for f in frames:
+            for b, seq, op, index in zip(f["book_id"], f["seq"], f["op"], f["index"]):
+                if b != book:
+                    if gone:
+                        yield rest()
+                    book, alive, stack, gone = b, None, deque(maxlen=most or None), {}
+                if op == "size" and pd.isna(seq):
+                    alive = Alive(int(index))
+                elif alive is None:
+                    continue
+                elif op == "delete" and 1 <= index <= alive.left:
+                    place = alive.find(int(index))
+                    alive.add(place, -1)
+                    gone[place] = int(seq)
+                    stack.append((place, seq))
+                elif op == "undo" and stack:
+                    place, _ = stack.pop()
+                    alive.add(place, 1)
+                    del gone[place]
+        if gone:
+            yield rest()
+
+    return steps.mapInPandas(run, REMOVED)
+
+
+def replay(sections: DataFrame, log: DataFrame, most: int = MAX_UNDO) -> DataFrame:
+    """The sections that a log of edits leaves, numbered anew; see removed_by(). Texts move once, to meet what is removed."""
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy("index"))
+    placed = sections.select("book_id", F.col("index").alias("__index")).withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("__index")))
+    gone = removed_by(sections, log, most).join(placed, ["book_id", "place"]).select("book_id", F.col("__index").alias("index"))
+    return sections.join(gone, ["book_id", "index"], "left_anti").withColumn("index", place)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,36 @@ def is_book(data, **options) -> bool:
 
 def all_valid(spark: SparkSession, sections: DataFrame, **options) -> bool:
     return violations(sections, **options).isEmpty()
+
+
+def faults(text: Column, require_metadata: bool = True, require_titles: bool = True) -> Column:
+    """The first fault of a JSON document, or null: check_book() on the text itself, by VARIANT paths in the JVM.
+
+    Null and texts that are no JSON have a fault of their own. The first faulty section is named by its place.
+    """
+    v = F.try_parse_json(text)
+    kind = lambda x, path: F.schema_of_variant(F.try_variant_get(x, path, "variant"))
+    is_object = lambda k: F.startswith(k, F.lit("OBJECT"))
+    holds = lambda k: is_object(k) | F.startswith(k, F.lit("ARRAY"))
+    root, meta = F.schema_of_variant(v), kind(v, "$.metadata")
+    sections = F.try_variant_get(v, "$.content", "array<variant>")
+    # what counts as nothing at all: null, false, zero and the empty string
+    empty = (root == "VOID") | ((root == "BOOLEAN") & ~F.try_variant_get(v, "$", "boolean")) | ((root == "STRING") & (F.try_variant_get(v, "$", "string") == "")) | (root.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(v, "$", "double") == 0))
+    # metadata that is there and says something, but is no object
+    given = meta.isNotNull() & (meta != "VOID") & ~((meta == "BOOLEAN") & ~F.try_variant_get(v, "$.metadata", "boolean")) & ~((meta == "STRING") & (F.try_variant_get(v, "$.metadata", "string") == "")) & ~(meta.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(v, "$.metadata", "double") == 0))
+
+    def sound(s: Column) -> Column:
+        index = kind(s, "$.index").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.try_variant_get(s, "$.index", "double") > 0)
+        ok = index & (kind(s, "$.text") == "STRING")
+        if require_titles:
+            ok = ok & (kind(s, "$.title") == "STRING") & (F.try_variant_get(s, "$.title", "string") != "")
+        return F.coalesce(ok, F.lit(False))
+
+    place = F.array_position(F.transform(sections, sound), F.lit(False))
+    names = "index, title, or text" if require_titles else "index, or text"
+    out = F.when(v.isNull(), F.lit("the text is no JSON")).when(empty, F.lit("JSON data is null or undefined"))
+    out = out.when(~is_object(root) | sections.isNull(), F.lit("JSON data must have a content array"))
+    if require_metadata:
+        out = out.when(~F.coalesce(holds(meta), F.lit(False)), F.lit("JSON data must have a metadata object"))
+    out = out.when(F.coalesce(given, F.lit(False)) & ~F.coalesce(holds(meta), F.lit(False)), F.lit("metadata must be an object if present"))
+    return out.when(place > 0, F.format_string(f"Section %d is missing required properties ({names})", place))

@@ -391,12 +391,12 @@ def g4_policy(spark, d):
 
 
 def queries() -> dict:
-    from quire.plans import more  # noqa: F401  its queries register themselves
+    from quire.plans import deeper, more  # noqa: F401  their queries register themselves
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from quire.plans import more  # noqa: F401
+    from quire.plans import deeper, more  # noqa: F401
 
     return dict(_sql)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import posixpath
 import re
 import zipfile
@@ -19,7 +18,7 @@ from quire.functions.schema import BOOK, PAGES
 from quire.functions.text import clean_html, js_trim
 from quire.operators.cards import issue_table
 from quire.operators.selectors import section_number
-from quire.operators.validate import check_book
+from quire.operators.validate import faults
 
 
 def read_book_json(spark: SparkSession, path: str, require_metadata: bool = False, require_titles: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -29,19 +28,10 @@ def read_book_json(spark: SparkSession, path: str, require_metadata: bool = Fals
     is no JSON, or whose shape is wrong, is an error when it is reached.
     """
 
-    def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for text in f["value"]:
-                try:
-                    fault = check_book(json.loads(text), require_metadata=require_metadata, require_titles=require_titles)
-                except ValueError as e:
-                    fault = str(e)
-                if fault:
-                    raise ValueError(f"Invalid JSON input: {fault}")
-            yield f
-
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("book_id"), "value")
-    raw = files.mapInPandas(checked, "book_id string, value string").select("book_id", F.from_json("value", BOOK).alias("b")).select("book_id", "b.*")
+    fault = faults(F.col("value"), require_metadata=require_metadata, require_titles=require_titles)
+    sound = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("Invalid JSON input: "), fault)).cast("string")).otherwise(F.col("value"))
+    raw = files.select("book_id", F.from_json(sound, BOOK).alias("b")).select("book_id", "b.*")
     sections = raw.select("book_id", F.posexplode("content").alias("pos", "s")).select("book_id", (F.col("pos") + 1).alias("ord"), F.col("s.index").alias("index"), "s.title", "s.text", F.col("s.pageRange").alias("page_range"), F.col("s.pageCount").alias("page_count"))
     return raw.select("book_id", "metadata"), sections
 
