@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import cards, edits, generate, retry, validate
+from quire.operators import cards, edits, generate, retry, title_index, validate
 from quire.plans.contract import query, read
+from quire.sources import books
 
 _LINES = "SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM conversations"
 
@@ -76,3 +77,37 @@ r AS (
 SELECT b AS book_id, CAST(generate_subscripts(ids, 1) AS BIGINT) AS index, unnest(ids) AS doc_id FROM (SELECT b, arg_max(ids, k) AS ids FROM r GROUP BY b)""")
 def m2_edit_log(spark, d):
     return edits.replay(_shelf(spark, d), _log(spark, d)).select("book_id", F.col("index").cast("bigint").alias("index"), "doc_id")
+
+
+_FIRST_LINE = "string_split(coalesce(text, ''), chr(10))[1]"
+_WORDS = "regexp_extract_all(lower(text), '[a-z]{3,}')"
+
+
+@query(f"""WITH w AS (SELECT item_id, text, {_WORDS} AS ws FROM benchmark),
+r AS (SELECT item_id * 2 AS ord, ws[1] || '[a-z]*\\W+' || ws[2] || '.*' AS pattern FROM w WHERE len(ws) > 4
+  UNION ALL SELECT item_id * 2 + 1, ws[3] || '\\w?(?: |, )(?:' || ws[4] || '|' || ws[5] || ')$' FROM w WHERE len(ws) > 4),
+t AS (SELECT DISTINCT {_FIRST_LINE} AS title FROM documents)
+SELECT title, min(ord) AS ord, 'matches filter pattern: ' || arg_min(pattern, ord) AS reason FROM t JOIN r ON regexp_matches(trim(lower(title)), pattern) WHERE title <> '' GROUP BY title""")
+def f8_many_rules(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
+    items = read(spark, d, "benchmark").select("item_id", words.alias("w")).where("size(w) > 4")
+    at = lambda i: F.col("w")[i - 1]
+    two = F.array(F.concat(at(1), F.lit(r"[a-z]*\W+"), at(2), F.lit(".*")), F.concat(at(3), F.lit(r"\w?(?: |, )(?:"), at(4), F.lit("|"), at(5), F.lit(")$")))
+    rules = items.select("item_id", F.posexplode(two).alias("k", "pattern"))
+    none = F.lit(None).cast("string")
+    rules = rules.select((F.col("item_id") * 2 + F.col("k")).cast("int").alias("ord"), F.lit("regex").alias("type"), none.alias("value"), "pattern", none.alias("flags"))
+    titles = read(spark, d, "documents").select(F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("title"))
+    return title_index.first_rules(titles, rules).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query("""WITH refs AS (SELECT turn, conv_id, 'p' || (conv_id * 7 + turn) || '.html' AS ref FROM conversations),
+f AS (SELECT 'p' || page_id || '.html' AS name, CASE WHEN page_id % 3 = 0 THEN 1 WHEN page_id % 4 = 1 THEN 2 END AS one, CASE WHEN page_id % 5 < 3 THEN 3 END AS two FROM pages),
+n AS (SELECT name, coalesce(least(one, two), one, two) AS folder FROM f)
+SELECT ref, folder, CAST(count(*) AS BIGINT) AS n FROM refs JOIN n ON name = ref WHERE folder IS NOT NULL GROUP BY ref, folder""")
+def s15_media_folders(spark, d):
+    refs = read(spark, d, "conversations").select(F.concat(F.lit("p"), (F.col("conv_id") * 7 + F.col("turn")).cast("string"), F.lit(".html")).alias("ref"))
+    page = F.col("page_id")
+    pages = read(spark, d, "pages").select(F.concat(F.lit("p"), page.cast("string"), F.lit(".html")).alias("name"), page, F.col("html").cast("binary").alias("content"))
+    folders = [pages.where(page % 3 == 0), pages.where(page % 4 == 1), pages.where(page % 5 < 3)]
+    found = books.first_media(refs, folders)
+    return refs.join(found, "ref").groupBy("ref", F.col("folder").alias("folder")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import posixpath
 import re
@@ -242,18 +243,56 @@ def load_prompt(spark: SparkSession, path: str, name: str) -> str:
     return found[0]["prompt"]
 
 
+def first_media(refs: DataFrame, folders: list[DataFrame]) -> DataFrame:
+    """Rows ref, folder: for each distinct reference that a folder has, the first of the folders, from 1.
+
+    Names alone are looked at, all folders in one grouping; what no one asks for is left out before it is grouped.
+    """
+    empty = refs.select(F.col("ref").alias("name"), F.lit(None).cast("int").alias("folder")).where("false")
+    names = functools.reduce(DataFrame.unionByName, [f.select("name", F.lit(i).alias("folder")) for i, f in enumerate(folders, 1)], empty)
+    # references are rows of folder null: one exchange brings both together
+    both = names.unionByName(refs.select(F.col("ref").alias("name"), F.lit(None).cast("int").alias("folder")))
+    found = both.where("name is not null").groupBy("name").agg(F.min("folder").alias("folder"), F.count_if(F.col("folder").isNull()).alias("asked"))
+    return found.where("asked > 0 and folder is not null").select(F.col("name").alias("ref"), "folder")
+
+
+def fetched(rows: DataFrame, column: str = "path") -> DataFrame:
+    """rows with the content of the file that a column names, read by the tasks; a file that cannot be read has null content and an error."""
+    from quire.sources.files import opened
+
+    names = rows.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in range(len(f)):  # one file at a time
+                one, content, error = f.iloc[i : i + 1], None, None
+                try:
+                    if isinstance(path := one[column].iloc[0], str):
+                        with opened(path.removeprefix("file:")) as handle:
+                            content = handle.read()
+                except Exception as e:
+                    error = str(e) or type(e).__name__
+                yield one.assign(content=[content], fetch_error=[error])
+
+    kinds = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.mapInPandas(run, f"{kinds}, content binary, fetch_error string")
+
+
 def resolve_media(refs: DataFrame, files: list[DataFrame], allow_remote: bool = False) -> DataFrame:
-    """refs (ref) with content from the first of the folders (name, content) that has it; remote ones are refused unless allowed.
+    """refs (ref) with content from the first of the folders that has it; remote ones are refused unless allowed.
 
-    The error of a reference that no folder has joins what each of them lacks. References and names meet first, so
-    bytes move only for files that are asked for.
+    A folder has rows (name, content) or (name, path); files given by path are opened only if they are the ones that a
+    reference gets. The error of a reference that no folder has joins what each of them lacks. Equal references keep
+    their rows; null ones are in no folder. A name should be once in a folder.
     """
-    wanted = refs.select("ref").distinct()
-    out = refs.withColumn("remote", F.col("ref").rlike(r"(?i)^https?://"))
-    for i, f in enumerate(files):
-        asked = f.join(wanted, f["name"] == F.col("ref"), "left_semi")
-        out = out.join(asked.select(F.col("name").alias(f"__n{i}"), F.col("content").alias(f"__c{i}")), F.col("ref") == F.col(f"__n{i}"), "left")
-    found = F.coalesce(*[F.col(f"__c{i}") for i in range(len(files))], F.lit(None).cast("binary"))
-    reasons = F.concat_ws("; ", *[F.concat(F.lit("not found: "), F.col("ref"), F.lit(f" in folder {i + 1}")) for i in range(len(files))])
-    error = F.when(F.col("remote") & F.lit(not allow_remote), "remote media is disabled").when(found.isNull() & ~F.col("remote"), reasons)
-    return out.select("ref", F.when(~F.col("remote"), found).alias("content"), error.alias("error"))
+    winners = first_media(refs, files)
+    parts = []
+    for i, f in enumerate(files, 1):
+        won = f.join(winners.where(F.col("folder") == i), f["name"] == F.col("ref"), "left_semi")
+        parts.append(won.select(F.col("name").alias("__name"), "content") if "content" in f.columns else fetched(won.select(F.col("name").alias("__name"), "path")).select("__name", "content"))
+    none = refs.select(F.col("ref").alias("__name"), F.lit(None).cast("binary").alias("content")).where("false")
+    out = refs.join(functools.reduce(DataFrame.unionByName, parts, none), F.col("ref") == F.col("__name"), "left")
+    remote = F.col("ref").rlike(r"(?i)^https?://")
+    reasons = F.concat_ws("; ", *[F.concat(F.lit("not found: "), F.col("ref"), F.lit(f" in folder {i}")) for i in range(1, len(files) + 1)])
+    error = F.when(remote & F.lit(not allow_remote), "remote media is disabled").when(F.col("content").isNull() & ~remote, reasons)
+    return out.select("ref", F.when(~remote, F.col("content")).alias("content"), error.alias("error"))

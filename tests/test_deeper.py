@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import sqlite3
 import zipfile
 from collections import Counter
@@ -10,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import cards, edits, generate, ordering, retry, validate
+from quire.operators import cards, edits, filters, generate, ordering, retry, title_index, validate
 from quire.sources import books, named, sinks
 
 SECTIONS = "book_id string, index int, text string"
@@ -209,3 +210,67 @@ def test_one_package_a_book(spark, tmp_path):
     before = (tmp_path / "out" / "b3.apkg").read_bytes()
     named.write_packages(table, str(tmp_path / "out"), "Deck")
     assert (tmp_path / "out" / "b3.apkg").read_bytes() == before
+
+
+# many title rules
+
+
+def test_required_letters():
+    need = title_index.required
+    assert need(r"^about\s+the\s+.+$") == "about" and need("^(?:foo|bar)x+abcd?") == "abc" and need("a|bcd") == "" and need("(ab(cd))+ef") == "abcd"
+    assert need("x*") == "" and need("[abc]def") == "def" and need("(") == "" and need("Émile Zola") == "le zola" and need("Émile Zola", "") == "mile zola" and need("a(?=bcd)") == "a"
+
+
+def test_ten_thousand_rules_equal_the_fold(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    vocabulary = [word() for _ in range(3000)]
+    rules = [*filters.DEFAULT_TITLE_RULES]
+    for i in range(10_000):
+        a, b = rng.choice(vocabulary), rng.choice(vocabulary)
+        rules.append(rng.choice([{"type": "regex", "pattern": f"^{a}\\s+{b}"}, {"type": "regex", "pattern": f"{a}.*{b}$", "flags": "i"}, {"type": "string", "value": f" {a.upper()} {b}"}, {"type": "regex", "pattern": f"({a}|{b}) {a}{b}"}]))
+    rules += [{"type": "regex", "pattern": "^ab?$"}, {"type": "regex", "pattern": "("}, {"type": "string", "value": " "}, {"type": "regex", "pattern": r"^\W*\d+\W*$"}]
+    titles = [f"{rng.choice(vocabulary)} {rng.choice(vocabulary)}" for _ in range(400)] + [r["value"] for r in rules if r["type"] == "string"][:60] + ["Contents", "ABOUT  the author", " Index ", "", None, "ab", "12.", "a", "Contents", "Praise of me"]
+    titles += ["pra\u0131\u017fe of me", "\u0131ndex", "note\u017f"]
+    titles += [r["pattern"].replace("^", "").replace("\\s+", "  ").replace(".*", " - ").replace("$", "") for r in rules if r.get("pattern", "(").find("(") < 0][30:120]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "id int, title string")
+    table = filters.rules_table(spark, rules)
+    got = title_index.with_title_reason(df, table)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    found = {r["id"]: r["title_reason"] for r in got.collect()}
+    compiled = [(r, re.compile(r["pattern"], re.I) if r["type"] == "regex" and r["pattern"] != "(" else None) for r in rules]
+    for i, t in enumerate(titles):
+        if t and re.search("[\u0131\u017f]", t):  # held against the fold below
+            continue
+        lower = (t or "").lower().strip()
+        first = next((r for r, c in compiled if t and (c.search(lower) if c else r["type"] == "string" and r["value"].strip() and r["value"].strip().lower() == lower)), None)
+        assert found[i] == (f"matches filter pattern: {first.get('pattern') or first.get('value')}" if first else None), t
+    odd = df.where("title rlike '[\u0131\u017f]'")
+    assert rows(odd.select("id", filters.title_reason(F.col("title"), filters.DEFAULT_TITLE_RULES))) == rows(title_index.with_title_reason(odd, filters.rules_table(spark, filters.DEFAULT_TITLE_RULES)).select("id", "title_reason"))
+    few = [*filters.DEFAULT_TITLE_RULES, *rules[21:60]]
+    by_fold = df.select("id", filters.title_reason(F.col("title"), few).alias("r"))
+    assert rows(by_fold) == rows(title_index.with_title_reason(df, filters.rules_table(spark, few)).select("id", "title_reason"))
+
+
+# media
+
+
+def test_media_by_the_first_folder(spark, tmp_path):
+    for i, names in enumerate((["a.png", "b.png"], ["b.png", "c.png"], ["c.png", "d.png", "huge.png"])):
+        (tmp_path / f"f{i}").mkdir()
+        for n in names:
+            (tmp_path / f"f{i}" / n).write_bytes(f"{i}{n}".encode())
+    folder = lambda i: spark.createDataFrame([(n, str(tmp_path / f"f{i}" / n)) for n in os.listdir(tmp_path / f"f{i}")], "name string, path string")
+    in_memory = spark.createDataFrame([("b.png", bytearray(b"1b.png")), ("c.png", bytearray(b"1c.png"))], "name string, content binary")
+    refs = spark.createDataFrame([("a.png",), ("b.png",), ("c.png",), ("d.png",), ("d.png",), ("none.png",), ("https://x/y.png",), (None,)], "ref string")
+    (tmp_path / "f2" / "huge.png").unlink()  # nobody asks for it, so nobody misses it
+    want = [("a.png", b"0a.png", None), ("b.png", b"0b.png", None), ("c.png", b"1c.png", None), ("d.png", b"2d.png", None), ("d.png", b"2d.png", None), ("https://x/y.png", None, "remote media is disabled"), ("none.png", None, "; ".join(f"not found: none.png in folder {i}" for i in (1, 2, 3)))]
+    for second in (folder(1), in_memory):
+        got = [(r["ref"], bytes(r["content"]) if r["content"] is not None else None, r["error"]) for r in books.resolve_media(refs, [folder(0), second, folder(2)]).collect() if r["ref"]]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert books.resolve_media(refs, []).count() == 8 and books.resolve_media(refs.limit(0), [folder(0)]).count() == 0
+    plan = books.first_media(refs, [folder(0), folder(1), folder(2)])
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    missing = books.fetched(spark.createDataFrame([("x", str(tmp_path / "no"))], "name string, path string")).first()
+    assert missing["content"] is None and missing["fetch_error"]
