@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import cards, edits, generate, retry, title_index, validate
+from quire.operators import cards, edits, fences, generate, retry, title_index, validate
 from quire.plans.contract import query, read
 from quire.sources import books
 
@@ -111,3 +111,15 @@ def s15_media_folders(spark, d):
     folders = [pages.where(page % 3 == 0), pages.where(page % 4 == 1), pages.where(page % 5 < 3)]
     found = books.first_media(refs, folders)
     return refs.join(found, "ref").groupBy("ref", F.col("folder").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+f AS (SELECT *, length(line) % 9 = 4 AS fence FROM l),
+c AS (SELECT doc_id, k, fence, count(*) FILTER (WHERE fence) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM f)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE fence OR n % 2 = 1) AS BIGINT) AS n_code, CAST(coalesce(sum(k) FILTER (WHERE fence OR n % 2 = 1), 0) AS BIGINT) AS places FROM c GROUP BY doc_id""")
+def s7_fenced_lines(spark, d):
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line"))
+    line = F.when(F.length("line") % 9 == 4, F.lit("```")).otherwise(F.translate("line", "`~", "  "))
+    marked = fences.with_in_code(lines.select("doc_id", (F.col("k") + 1).alias("line_no"), line.alias("line")), doc="doc_id")
+    code = F.col("in_code")
+    return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(code).alias("n_code"), F.coalesce(F.sum(F.when(code, F.col("line_no").cast("bigint"))), F.lit(0)).alias("places"))

@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import cards, edits, filters, generate, ordering, retry, title_index, validate
+from quire.operators import cards, edits, fences, filters, generate, ordering, retry, title_index, validate
 from quire.sources import books, named, sinks
 
 SECTIONS = "book_id string, index int, text string"
@@ -274,3 +274,39 @@ def test_media_by_the_first_folder(spark, tmp_path):
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     missing = books.fetched(spark.createDataFrame([("x", str(tmp_path / "no"))], "name string, path string")).first()
     assert missing["content"] is None and missing["fetch_error"]
+
+
+# fenced lines
+
+
+def fence_lines(rng, n):
+    pool = ["```", "````", "~~~", "~~~~~", "   ```", "    ```", "``` x", "```a`b", "~~~ `x", "text", "", "## a", "``` ", "`````"]
+    return [rng.choice(pool) for _ in range(n)]
+
+
+def test_effects_compose():
+    rng = random.Random(5)
+    for _ in range(300):
+        parts = [fence_lines(rng, rng.randint(0, 8)) for _ in range(3)]
+        one, two, three = (fences.effect(p) for p in parts)
+        whole = fences.effect([x for p in parts for x in p])
+        for state in ("", "```", "````", "``````", "~~~", "~~~~~~~"):
+            want = state
+            for x in (x for p in parts for x in p):
+                want = fences.after(want, x)
+            assert whole.on(state) == one.then(two).then(three).on(state) == one.then(two.then(three)).on(state) == three.on(two.on(one.on(state))) == want
+
+
+def test_fenced_lines_of_documents_over_many_tasks(spark):
+    rng = random.Random(8)
+    docs = {f"d{i}": fence_lines(rng, rng.randint(1, 40)) for i in range(30)} | {"big": [rng.choice(["x", "y"]) if rng.random() < 0.995 else rng.choice(["```", "~~~~", "````"]) for _ in range(20_000)], None: fence_lines(rng, 9)}
+    data = [(d, i, x) for d, lines in docs.items() for i, x in enumerate(lines)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "book_id string, line_no int, line string")
+    out = fences.with_in_code(df, parts=7)
+    got = {(r["book_id"], r["line_no"]): r["in_code"] for r in out.collect()}
+    assert got == {(d, i): c for d, lines in docs.items() for i, c in enumerate(cards.in_code(lines))}
+    assert out.where("book_id = 'big'").groupBy(F.spark_partition_id()).count().count() > 3
+    assert fences.with_in_code(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([("a", 0, "```"), ("a", 1, None), ("a", 2, "x")], "book_id string, line_no int, line string")
+    assert [r["in_code"] for r in fences.with_in_code(odd).orderBy("line_no").collect()] == [True, True, True]
