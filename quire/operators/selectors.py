@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _RANGE = re.compile(r"(\d+)\s*-\s*(\d+)")
@@ -160,11 +160,29 @@ def index_template(spark: SparkSession, count: int, pages: int = 2) -> DataFrame
     return spark.range(1, count + 1).select(i.cast("int").alias("ord"), ((i - 1) * pages + 1).cast("int").alias("start"), (i * pages).cast("int").alias("end"), F.concat(F.lit("Section "), i.cast("string")).alias("title"))
 
 
-def format_template(entries: DataFrame) -> DataFrame:
-    """One row, template: one object a line."""
+def index_templates(books: DataFrame, pages: int = 2) -> DataFrame:
+    """A template of index entries for each row (book_id, count): so many entries of `pages` pages each; none for a count below 1."""
+    i = F.col("ord")
+    each = books.where("count > 0").select("book_id", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("ord"))
+    return each.select("book_id", "ord", ((i - 1) * pages + 1).alias("start"), (i * pages).alias("end"), F.concat(F.lit("Section "), i.cast("string")).alias("title"))
+
+
+def _template(entries: Column) -> Column:
+    return F.concat(F.lit("[\n"), F.array_join(F.transform(F.array_sort(entries), lambda x: x["line"]), ",\n"), F.lit("\n]\n"))
+
+
+def _entry_line() -> Column:
     from quire.functions.text import js_trim
 
     title = F.when(js_trim(F.coalesce("title", F.lit(""))) != "", F.concat(F.lit(', "title": '), F.substring(F.to_json(F.array("title")), F.lit(2), F.length(F.to_json(F.array("title"))) - 2))).otherwise("")
-    line = F.concat(F.format_string('  { "start": %d, "end": %d', "start", "end"), title, F.lit(" }"))
-    all_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), ",\n")
-    return entries.agg(F.when(F.count(F.lit(1)) == 0, "[]\n").otherwise(F.concat(F.lit("[\n"), all_, F.lit("\n]\n"))).alias("template"))
+    return F.concat(F.format_string('  { "start": %d, "end": %d', "start", "end"), title, F.lit(" }"))
+
+
+def format_templates(entries: DataFrame) -> DataFrame:
+    """Rows book_id, template: the entries of each book, one object a line."""
+    return entries.groupBy("book_id").agg(_template(F.collect_list(F.struct("ord", _entry_line().alias("line")))).alias("template"))
+
+
+def format_template(entries: DataFrame) -> DataFrame:
+    """One row, template: one object a line."""
+    return entries.agg(F.when(F.count(F.lit(1)) == 0, "[]\n").otherwise(_template(F.collect_list(F.struct("ord", _entry_line().alias("line"))))).alias("template"))

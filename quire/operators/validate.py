@@ -16,7 +16,9 @@ def violations(sections: DataFrame, require_titles: bool = True) -> DataFrame:
     """Rows book_id, position, error: the first faulty section of each book; sections need an `ord`."""
     w = Window.partitionBy("book_id").orderBy("ord")
     names = "index, title, or text" if require_titles else "index, or text"
-    bad = sections.withColumn("position", F.row_number().over(w)).where(missing(require_titles))
+    # texts are judged before anything moves
+    judged = sections.select("book_id", "ord", missing(require_titles).alias("bad"))
+    bad = judged.withColumn("position", F.row_number().over(w)).where("bad")
     first = bad.groupBy("book_id").agg(F.min("position").alias("position"))
     return first.withColumn("error", F.format_string(f"Section %d is missing required properties ({names})", "position"))
 

@@ -86,9 +86,13 @@ chapters AS (
 
 def host_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a host, in the order of page_id, as a book's chapters of clean text."""
-    pages = read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("book_id"), "page_id", F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), T.clean_html(F.col("html")).alias("text"))
+    pages = read(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1).alias("book_id")
+    # pages are numbered by their ids alone; texts meet the numbers and are not sorted
     n = F.row_number().over(Window.partitionBy("book_id").orderBy("page_id"))
-    return pages.withColumn("ord", n).select("book_id", "ord", "title", "text")
+    numbers = pages.select(host, "page_id").select("page_id", n.alias("ord"))
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return pages.join(numbers, "page_id").select(host, "ord", title.alias("title"), T.clean_html(F.col("html")).alias("text"))
 
 
 def cascade() -> dict:
@@ -262,10 +266,17 @@ def _quoted(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-@query("SELECT min(ord)::BIGINT AS ord, type, value, pattern, flags FROM (VALUES " + ", ".join(f"({i}, {_quoted(r['type'])}, {_quoted(r.get('value'))}, {_quoted(r.get('pattern'))}, {_quoted(r.get('flags'))})" for i, r in enumerate([*RULES, *RULES[3:9], {"type": "string", "value": "Extra"}, RULES[0]])) + ") t(ord, type, value, pattern, flags) GROUP BY type, value, pattern, flags")
+@query("""WITH w AS (SELECT conv_id * 1000 + turn AS ord, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS ws FROM conversations)
+SELECT CAST(min(ord) AS BIGINT) AS ord, type, value, pattern, flags FROM (
+  SELECT ord, CASE WHEN len(ws) % 2 = 0 THEN 'string' ELSE 'regex' END AS type, CASE WHEN len(ws) % 2 = 0 THEN ws[1] END AS value, CASE WHEN len(ws) % 2 = 1 THEN ws[2] END AS pattern, CASE WHEN len(ws) % 3 = 1 THEN 'i' END AS flags FROM w)
+GROUP BY type, value, pattern, flags""")
 def a11_rule_distinct(spark, d):
-    out = filters.distinct_rules(filters.rules_table(spark, RULES, RULES[3:9], [{"type": "string", "value": "Extra"}, RULES[0]]))
-    return out.select(F.col("ord").cast("bigint").alias("ord"), "type", "value", "pattern", "flags")
+    """Words of turns as rules, many of them alike."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), 0)
+    turns = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), words.alias("ws"))
+    n = F.size("ws")
+    rules = turns.select("ord", F.when(n % 2 == 0, "string").otherwise("regex").alias("type"), F.when(n % 2 == 0, F.get("ws", F.lit(0))).alias("value"), F.when(n % 2 == 1, F.get("ws", F.lit(1))).alias("pattern"), F.when(n % 3 == 1, "i").alias("flags"))
+    return filters.distinct_rules(rules).select(F.col("ord").cast("bigint").alias("ord"), "type", "value", "pattern", "flags")
 
 
 _RANGES = "r AS (SELECT l_orderkey AS book_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, l_partkey % 50 + 1 AS s, l_partkey % 50 + 1 + CAST(l_quantity AS INT) % 5 AS e FROM lineitem)"
@@ -336,9 +347,12 @@ def o3_undo_stack(spark, d):
     return s.select("source", F.size("stack").cast("bigint").alias("size"), edits.top(F.col("stack")).alias("top"), edits.top(edits.pop(F.col("stack"))).alias("under"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS ord, CAST(2 * (i - 1) + 1 AS BIGINT) AS \"start\", CAST(2 * i AS BIGINT) AS \"end\", 'Section ' || i AS title FROM range(1, 41) t(i)")
+@query("""WITH b AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, count(*) AS n FROM conversations GROUP BY conv_id), e AS (SELECT book_id, unnest(generate_series(1, n)) AS i FROM b)
+SELECT book_id, '[' || chr(10) || string_agg('  { "start": ' || (3 * i - 2) || ', "end": ' || (3 * i) || ', "title": "Section ' || i || '" }', ',' || chr(10) ORDER BY i) || chr(10) || ']' || chr(10) AS template FROM e GROUP BY book_id""")
 def k4_index_template(spark, d):
-    return selectors.index_template(spark, 40).select(*[F.col(c).cast("bigint").alias(c) for c in ("ord", "start", "end")], "title")
+    """A template for each conversation, with as many entries as it has turns."""
+    books = read(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("book_id")).agg(F.count(F.lit(1)).cast("int").alias("count"))
+    return selectors.format_templates(selectors.index_templates(books, 3))
 
 
 @query("SELECT event_id, CASE WHEN status % 3 = 0 THEN code IN ('ECONNRESET', 'EPIPE') ELSE status IN (429, 500, 502, 503, 504) END AS transient FROM (SELECT event_id, 400 + event_id % 110 AS status, CASE event_id % 3 WHEN 0 THEN 'ECONNRESET' WHEN 1 THEN 'EPIPE' ELSE 'EOTHER' END AS code FROM events)")
@@ -371,20 +385,26 @@ def n8_retry_after(spark, d):
 
 
 def _answers(spark, d):
-    """A Markdown answer for each turn, good and bad forms in turn."""
-    k = F.col("conv_id") % 5
-    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))  # the whole text as one bullet
-    markdown = (
-        F.when(k == 0, F.concat(F.lit("## Front\n\n- "), line))
-        .when(k == 1, F.concat(F.lit("## Front\n\n"), F.regexp_replace(line, "[-*+#]", "")))
-        .when(k == 2, F.concat(F.lit("## A\n\n- one\n-\n\n## A\n\n- "), line))
-        .when(k == 3, F.concat(F.lit("# Stray\n\n## A\n\nAsk.\n\n***\n\n- "), line))
-        .otherwise(F.lit("just prose"))
-    )
+    """A Markdown answer for each turn, made of all its lines: heads, bullets, empty bullets and prose by their lengths."""
+    line = lambda x, i: F.when(F.length(x) % 4 == 0, F.concat(F.lit("## h"), (F.length(x) % 7).cast("string"))).when(F.length(x) % 4 == 1, F.concat(F.lit("- b"), i.cast("string"))).when((F.length(x) % 4 == 2) & (i % 2 == 0), "-").otherwise(F.concat(F.lit("p "), F.translate(x, "`~#*-+\r", "")))
+    markdown = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
     return read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), F.col("turn").cast("int").alias("section_index"), markdown.alias("markdown"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS book_id, turn AS section_index, CAST(ord AS BIGINT) AS ord, message FROM conversations, (VALUES (1, 1, 'Card \"Front\" is missing bullet items'), (2, 1, 'Empty bullet item'), (2, 2, 'Duplicate card front \"A\"'), (3, 1, 'stray-h1: Heading of level 1 on line 1'), (4, 1, 'Content found before the first card front'), (4, 2, 'No flashcards detected (expected lines starting with \"## \")')) t(k, ord, message) WHERE conv_id % 5 = k")
+_ISSUES = """l AS (SELECT conv_id, turn, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k, length(unnest(string_split(coalesce(text, ''), chr(10)))) AS n FROM conversations),
+m AS (SELECT *, CASE WHEN n % 4 = 0 THEN 'head' WHEN n % 4 = 1 THEN 'bullet' WHEN n % 4 = 2 AND k % 2 = 1 THEN 'empty' ELSE 'prose' END AS kind FROM l),
+c AS (SELECT *, count(*) FILTER (WHERE kind = 'head') OVER (PARTITION BY conv_id, turn ORDER BY k) AS card FROM m),
+h AS (SELECT conv_id, turn, card, min(k) AS k, 'h' || min(n) FILTER (WHERE kind = 'head') % 7 AS front, count(*) FILTER (WHERE kind = 'bullet') AS bullets FROM c WHERE card > 0 GROUP BY ALL),
+i AS (
+  SELECT conv_id, turn, 1 AS class, k, 'Card "' || front || '" is missing bullet items' AS message, '' AS lines FROM h WHERE bullets = 0
+  UNION ALL SELECT conv_id, turn, 2, k, 'Empty bullet item', ' (lines ' || k || ')' FROM c WHERE kind = 'empty'
+  UNION ALL SELECT conv_id, turn, 3, k, 'Duplicate card front "' || front || '"', '' FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, front ORDER BY card) AS nth FROM h) WHERE nth > 1
+  UNION ALL SELECT conv_id, turn, 4, 0, 'Content found before the first card front', '' FROM c WHERE k = 1 AND card = 0
+  UNION ALL SELECT conv_id, turn, 5, 0, 'No flashcards detected (expected lines starting with "## ")', '' FROM c GROUP BY conv_id, turn HAVING max(card) = 0
+), o AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY class, k) AS ord, message, lines FROM i)"""
+
+
+@query(f"WITH {_ISSUES} SELECT CAST(conv_id AS VARCHAR) AS book_id, turn AS section_index, ord, message FROM o")
 def g4_policy(spark, d):
     out = cards.issue_table(_answers(spark, d))
     return out.select("book_id", F.col("section_index").cast("bigint").alias("section_index"), F.col("ord").cast("bigint").alias("ord"), "message")

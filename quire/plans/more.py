@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import fmt
 from quire.functions import text as T
 from quire.operators import assemble, cards, edits, filters, meta, retry, selectors, summary, validate
-from quire.plans.contract import _PAGES, W, _answers, _clean, _conversation_pages, _html, query, read
+from quire.plans.contract import _ISSUES, _PAGES, W, _answers, _clean, _conversation_pages, _html, query, read
 
 def _trim(c: str) -> str:
     return f"regexp_replace({c}, '^{W}+|{W}+$', '', 'g')"
@@ -151,11 +151,13 @@ def p5_chapter_titles(spark, d):
     return chapters(raw).select("book_id", "ord", "title", "text")
 
 
-@query(f"WITH {_PAGES} SELECT book_id, CAST(1 AS BIGINT) AS index, replace(book_id, '.pdf', '') AS title, {_trim('text')} AS text FROM p WHERE page_no = 1 AND CAST(regexp_extract(book_id, '[0-9]+') AS INT) % 2 = 0 AND {_trim(_NONE)} <> ''")
+@query(f"WITH {_PAGES}, b AS (SELECT book_id, string_agg(coalesce(text, ''), chr(10) ORDER BY page_no) AS raw FROM p GROUP BY book_id) SELECT book_id, CAST(1 AS BIGINT) AS index, replace(book_id, '.pdf', '') AS title, {_trim('raw')} AS text FROM b WHERE CAST(regexp_extract(book_id, '[0-9]+') AS INT) % 2 = 0 AND {_trim('raw')} <> ''")
 def a9_raw_text(spark, d):
-    pages = _conversation_pages(spark, d).where("page_no = 1").select("book_id", F.col("book_id").alias("file_name"), F.col("text").alias("raw_text"))
-    odd = pages.where(F.regexp_extract("book_id", "[0-9]+", 0).cast("int") % 2 == 1).select("book_id", F.lit(1).alias("index"))
-    return assemble.raw_text_sections(pages, odd).withColumn("index", F.col("index").cast("bigint"))
+    """All turns of a conversation as the raw text of a book; every second one has a section already."""
+    pages = _conversation_pages(spark, d)
+    raw = pages.groupBy("book_id").agg(assemble.ordered_concat("page_no", F.coalesce("text", F.lit("")), "\n").alias("raw_text")).withColumn("file_name", F.col("book_id"))
+    odd = raw.where(F.regexp_extract("book_id", "[0-9]+", 0).cast("int") % 2 == 1).select("book_id", F.lit(1).alias("index"))
+    return assemble.raw_text_sections(raw, odd).withColumn("index", F.col("index").cast("bigint"))
 
 
 @query(f"WITH {_PAGES} SELECT book_id, CAST(page_no AS BIGINT) AS page_no, {_trim(_RUNS)} AS text FROM p")
@@ -168,7 +170,7 @@ def o1_reading_order(spark, d):
     return out.select("book_id", F.col("page_no").cast("bigint").alias("page_no"), "text")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS book_id, turn AS section_index, 'Markdown validation failed:' || chr(10) || CASE conv_id % 5 WHEN 1 THEN '1. Card \"Front\" is missing bullet items' WHEN 2 THEN '1. Empty bullet item (lines 4)' || chr(10) || '2. Duplicate card front \"A\"' WHEN 3 THEN '1. stray-h1: Heading of level 1 on line 1' ELSE '1. Content found before the first card front' || chr(10) || '2. No flashcards detected (expected lines starting with \"## \")' END AS report FROM conversations WHERE conv_id % 5 <> 0")
+@query(f"WITH {_ISSUES} SELECT CAST(conv_id AS VARCHAR) AS book_id, turn AS section_index, 'Markdown validation failed:' || chr(10) || string_agg(ord || '. ' || message || lines, chr(10) ORDER BY ord) AS report FROM o GROUP BY conv_id, turn")
 def a10_issue_report(spark, d):
     found = cards.issue_table(_answers(spark, d))
     line = F.concat(F.col("ord").cast("string"), F.lit(". "), "message", F.when(F.size("lines") > 0, F.concat(F.lit(" (lines "), F.array_join(F.col("lines").cast("array<string>"), ", "), F.lit(")"))).otherwise(""))
