@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import cards, edits, fences, generate, retry, title_index, validate
-from quire.plans.contract import query, read
+from quire.operators import assemble, cards, edits, fences, generate, retry, title_index, validate
+from quire.plans.contract import _conversation_pages, _index, _sql, query, read
 from quire.sources import books
 
 _LINES = "SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM conversations"
@@ -123,3 +123,29 @@ def s7_fenced_lines(spark, d):
     marked = fences.with_in_code(lines.select("doc_id", (F.col("k") + 1).alias("line_no"), line.alias("line")), doc="doc_id")
     code = F.col("in_code")
     return marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(code).alias("n_code"), F.coalesce(F.sum(F.when(code, F.col("line_no").cast("bigint"))), F.lit(0)).alias("places"))
+
+
+def _word_pages(spark, d):
+    """Pages whose words are positioned runs, ten on a line, in an order that is not theirs."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), "")
+    run = lambda w, i: F.struct((i % 10).cast("double").alias("x"), F.floor(i / 10).cast("double").alias("y"), F.array(F.struct(F.replace(w, F.lit("%"), F.lit("%25")).alias("T"))).alias("R"))
+    pages = _conversation_pages(spark, d).select("book_id", "page_no", F.reverse(F.transform(words, run)).alias("runs"))
+    return assemble.pages_from_runs(pages)
+
+
+def _of_runs(name: str) -> str:
+    """The SQL of a query over pages, with the words of each page, a space between, for its text."""
+    words = "array_to_string(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'), ' ')"
+    return _sql[name].replace("turn + 1 AS page_no, text FROM", f"turn + 1 AS page_no, {words} AS text FROM")
+
+
+@query(_of_runs("j1_index_join"))
+def j2_runs_by_index(spark, d):
+    out = assemble.by_index(_word_pages(spark, d), _index(spark, d))
+    return out.withColumns({"index": F.col("index").cast("bigint"), "page_count": F.col("page_count").cast("bigint")})
+
+
+@query(_of_runs("a2_single_text"))
+def a3_runs_single_text(spark, d):
+    out = assemble.whole_book(_word_pages(spark, d))
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("index", "page_count", "processed_pages")})
