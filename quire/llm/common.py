@@ -88,8 +88,18 @@ def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(i, rows)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df itself, or, where a scan has fewer partitions than there are cores, its rows dealt over the cores.
+
+    That is so for tables of some megabytes only, one row group of which one task would have to work through; a table
+    of more partitions than cores is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def words(text: Column) -> Column:
