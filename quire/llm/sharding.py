@@ -89,8 +89,11 @@ def propagate_graph(nodes: DataFrame, links: DataFrame, total: int, shards: int
 
     Documents under one key are neighbours. Each round counts, for every document, its neighbours by shard, through the
     keys' counts and never by pairs; half of the documents, in turn, ask for the shard where most of theirs are, if that
-    is more than where they are now. nodes: row_hash, row_hash2 and payload columns. Repeated links count once; links of
-    documents that nodes lack are left out; a document without a link stays where it is put.
+    is more than where they are now. nodes: row_hash, row_hash2 and payload columns; keys are not null. Repeated links
+    count once; links of documents that nodes lack are left out; a document without a link stays where it is put.
+    Repeated nodes are documents of their own, each with all the links of its key. It ends when nothing wants to move,
+    or after `rounds` rounds: balanced then, too, but not settled. Empty nodes give no rows, empty links a placement by
+    hash.
     """
     row, names = ["row_hash", "row_hash2"], [f"at{s}" for s in range(shards)]
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
@@ -101,8 +104,9 @@ def propagate_graph(nodes: DataFrame, links: DataFrame, total: int, shards: int
     for turn in range(rounds):
         at = table(links.join(placed.select(*row, "shard"), row))
         tally = table(at.groupBy("link").agg(*[F.count_if(F.col("shard") == s).alias(n) for s, n in enumerate(names)]))
-        votes = at.join(tally, "link").groupBy(*row).agg(*[F.sum(F.col(n) - (F.col("shard") == s).cast("bigint")).alias(n) for s, n in enumerate(names)])
-        asked = placed.join(votes, row, "left")
+        # equal nodes of one shard have the same neighbours and vote once
+        votes = at.distinct().join(tally, "link").groupBy(*row, "shard").agg(*[F.sum(F.col(n) - (F.col("shard") == s).cast("bigint")).alias(n) for s, n in enumerate(names)])
+        asked = placed.join(votes, [*row, "shard"], "left")
         best = F.array_max(F.array(*[F.struct(F.col(n).alias("n"), _uniform(F.col("row_hash"), F.lit(s)).alias("u"), F.lit(s).alias("s")) for s, n in enumerate(names)]))
         now = F.get(F.array(*names), F.col("shard"))
         moves = F.col("linked") & (best["n"] > now) & (F.pmod(F.xxhash64("row_hash2", F.lit(turn // 2)), F.lit(2)) == turn % 2)
@@ -118,7 +122,10 @@ def propagate_graph(nodes: DataFrame, links: DataFrame, total: int, shards: int
 
 
 def cut(placed: DataFrame, links: DataFrame) -> int:
-    """How many (document, link) incidences are cut: those outside the shard where their link has most of its documents."""
+    """How many (document, link) incidences are cut: those outside the shard where their link has most of its documents.
+
+    Repeated links count once, repeated documents each; null keys meet nothing; empty tables give 0.
+    """
     at = links.select("row_hash", "row_hash2", "link").distinct().join(placed.select("row_hash", "row_hash2", "shard"), ["row_hash", "row_hash2"])
     held = at.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("link").agg((F.sum("n") - F.max("n")).alias("cut"))
     return held.agg(F.coalesce(F.sum("cut"), F.lit(0)).alias("cut")).first()["cut"]
