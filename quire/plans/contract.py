@@ -355,10 +355,18 @@ def k4_index_template(spark, d):
     return selectors.format_templates(selectors.index_templates(books, 3))
 
 
-@query("SELECT event_id, CASE WHEN status % 3 = 0 THEN code IN ('ECONNRESET', 'EPIPE') ELSE status IN (429, 500, 502, 503, 504) END AS transient FROM (SELECT event_id, 400 + event_id % 110 AS status, CASE event_id % 3 WHEN 0 THEN 'ECONNRESET' WHEN 1 THEN 'EPIPE' ELSE 'EOTHER' END AS code FROM events)")
+_CODES = [*retry.TRANSIENT_CODES, "EOTHER", "ENOENT", "econnreset", ""]
+
+
+@query(f"""WITH c AS (SELECT event_id, 380 + CAST(floor(value * 11) AS BIGINT) % 160 AS status, value, [{', '.join(f"'{c}'" for c in _CODES)}] AS codes FROM events),
+t AS (SELECT *, codes[1 + CAST(floor(value * 100) AS BIGINT) % {len(_CODES)}] AS one, codes[1 + user % {len(_CODES)}] AS two FROM (SELECT c.*, user_id AS user FROM c JOIN events USING (event_id)))
+SELECT event_id, CASE WHEN status % 3 = 0 THEN one IN ({', '.join(f"'{c}'" for c in retry.TRANSIENT_CODES)}) OR two IN ({', '.join(f"'{c}'" for c in retry.TRANSIENT_CODES)}) ELSE status IN (429, 500, 502, 503, 504) END AS transient FROM t""")
 def f19_transient(spark, d):
-    e = read(spark, d, "events").select("event_id", (400 + F.col("event_id") % 110).alias("status"), F.when(F.col("event_id") % 3 == 0, "ECONNRESET").when(F.col("event_id") % 3 == 1, "EPIPE").otherwise("EOTHER").alias("code"))
-    return e.select("event_id", retry.is_transient(F.when(F.col("status") % 3 != 0, F.col("status")), F.array("code")).alias("transient"))
+    """Statuses and chains of two codes by the events' values and users."""
+    codes = F.array(*[F.lit(c) for c in _CODES])
+    status = 380 + F.floor(F.col("value") * 11) % 160
+    chain = F.array(F.get(codes, (F.floor(F.col("value") * 100) % len(_CODES)).cast("int")), F.get(codes, (F.col("user_id") % len(_CODES)).cast("int")))
+    return read(spark, d, "events").select("event_id", retry.is_transient(F.when(status % 3 != 0, status), chain).alias("transient"))
 
 
 _BACK = "least(30000.0, 2000 * pow(2.0, event_id % 6))"

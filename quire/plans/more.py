@@ -66,16 +66,16 @@ def t16_uri_decode(spark, d):
     return read(spark, d, "pages").select("page_id", T.uri_decode(F.concat(F.replace("url", F.lit("/"), F.lit("%2F")), F.lit("%20+x"))).alias("decoded"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '503' WHEN event_id % 3 = 1 THEN 'EPIPE' ELSE left('The call ended because ' || event_type || ' was not what the server had expected to see', 60) END AS reason FROM events")
+@query("SELECT conv_id, turn, CASE length(coalesce(text, '')) % 4 WHEN 0 THEN CAST(400 + length(text) % 150 AS VARCHAR) WHEN 1 THEN role ELSE left(coalesce(text, 'unknown error'), 60) END AS reason FROM conversations")
 def t20_short_reason(spark, d):
-    k = F.col("event_id") % 3
-    message = F.concat(F.lit("The call ended because "), "event_type", F.lit(" was not what the server had expected to see"))
-    return read(spark, d, "events").select("event_id", retry.short_reason(F.when(k == 0, 503), F.when(k == 1, F.array(F.lit(None).cast("string"), F.lit("EPIPE"))), message).alias("reason"))
+    """A status, a code or the turn's own text, by its length."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    return read(spark, d, "conversations").select("conv_id", "turn", retry.short_reason(F.when(n % 4 == 0, 400 + F.length("text") % 150), F.when(n % 4 == 1, F.array(F.lit(None).cast("string"), F.col("role"))), F.col("text")).alias("reason"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'unknown error' END AS said FROM events")
+@query("SELECT conv_id, turn, coalesce(CASE WHEN length(text) % 3 > 0 THEN text END, 'unknown error') AS said FROM conversations")
 def t12_describe_error(spark, d):
-    return read(spark, d, "events").select("event_id", T.describe_error(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("said"))
+    return read(spark, d, "conversations").select("conv_id", "turn", T.describe_error(F.when(F.length("text") % 3 > 0, F.col("text"))).alias("said"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang || '_' || doc_id END AS profile FROM documents")
@@ -95,11 +95,14 @@ def n11_timeout(spark, d):
     return read(spark, d, "events").select("event_id", fmt.timeout_ms(F.when(k == 1, -F.col("value")).when(k > 1, F.col("value") * 10)).alias("ms"))
 
 
-@query("SELECT event_id, event_id % 3 = 0 OR event_id % 3 = 1 AND event_id % 2 = 0 AS timeout FROM events")
+@query("""WITH e AS (SELECT doc_id, lang, CASE WHEN length(coalesce(text, '')) % 5 = 1 THEN overlay_ ELSE coalesce(text, '') END AS said FROM (SELECT *, left(coalesce(text, ''), CAST(doc_id % 40 AS INTEGER)) || 'TimeOut' || substr(coalesce(text, ''), CAST(doc_id % 40 AS INTEGER) + 1) AS overlay_ FROM documents))
+SELECT doc_id, lang = 'fr' OR contains(lower(said), 'timeout') AS timeout FROM e""")
 def f20_timeout(spark, d):
-    k = F.col("event_id") % 3
-    message = F.when((k == 1) & (F.col("event_id") % 2 == 0), F.concat(F.lit("Request TIMEOUT after "), "event_type")).otherwise(F.lit("refused"))
-    return read(spark, d, "events").select("event_id", retry.is_timeout(F.when(k == 0, "AbortError"), message).alias("timeout"))
+    """Whole texts as messages, some with the word at some place; one language stands for calls that were given up."""
+    t = F.coalesce("text", F.lit(""))
+    at = (F.col("doc_id") % 40).cast("int")
+    message = F.when(F.length(t) % 5 == 1, F.concat(F.substring(t, F.lit(1), at), F.lit("TimeOut"), F.substring(t, at + 1, F.length(t)))).otherwise(t)
+    return read(spark, d, "documents").select("doc_id", retry.is_timeout(F.when(F.col("lang") == "fr", "AbortError").otherwise(F.col("lang")), message).alias("timeout"))
 
 
 _NUMBERED = r"n AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS book_id, CAST(row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) ORDER BY page_id) AS BIGINT) AS ord FROM pages)"
