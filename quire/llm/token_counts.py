@@ -23,6 +23,30 @@ CHUNK_CHARS, OVERLAP_CHARS = 1 << 12, 1 << 8
 MARGIN = 32
 
 
+@functools.cache
+def by_word(json_path: str) -> bool:
+    """Whether a word's tokens do not depend on the words around it, if texts are cut by cut_words()."""
+    import json
+
+    with open(json_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre = spec.get("pre_tokenizer") or {}
+    return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not any(" " in x["content"] for x in spec["added_tokens"])
+
+
+def cut_words(text: str) -> list[str]:
+    """A text cut before each space that follows something other than white space: a byte-level pre-tokeniser begins anew there."""
+    first, *rest = text.split(" ")
+    out, last = ([first], first[-1]) if first else ([], " ")
+    for part in rest:
+        if last.isspace() and out:
+            out[-1] += " " + part
+        else:
+            out.append(" " + part)
+        last = part[-1] if part else " "
+    return out
+
+
 @functools.cache
 def load(json_path: str):
     """The tokenizer of a file; one whose special strings reach further than MARGIN is refused."""
@@ -95,19 +119,24 @@ def count_long(text: str, tokenizer, chunk: int = CHUNK_CHARS, overlap: int = OV
 def token_counts(docs: DataFrame, json_path: str, limit: int = 1024, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows id, n_bytes, n_tokens, over_limit, n_splices; one for each row of docs.
 
-    A text longer than a chunk is encoded in chunks; n_splices is where they were joined. Null and empty texts have 0
+    A text longer than a chunk is encoded in chunks; n_splices is where they were joined. Of shorter ones, each distinct
+    word of a slice is encoded once, where the tokenizer's words do not depend on one another. Null and empty texts have 0
     bytes and 0 tokens; repeated rows and null ids each keep their row; an empty table gives none; other columns are
     not read. Memory is bounded by a chunk's encoding beside the text itself. No shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(json_path)
+        tokenizer, words = load(json_path), by_word(json_path)
         for batch in (s for b in batches for s in slices(b)):
             texts = [v or "" for v in batch.column(1).to_pylist()]
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
             found: list[tuple[int, int]] = [(0, 0)] * len(texts)
-            for i, code in zip(short, tokenizer.encode_batch_fast([texts[i] for i in short], add_special_tokens=False)):
-                found[i] = len(code), 0
+            # each distinct word of the slice once, if words can be told apart
+            cut = [cut_words(texts[i]) if words else [texts[i]] for i in short]
+            distinct = list({w for c in cut for w in c})
+            counts = dict(zip(distinct, map(len, tokenizer.encode_batch_fast(distinct, add_special_tokens=False))))
+            for i, c in zip(short, cut):
+                found[i] = sum(map(counts.__getitem__, c)), 0
             for i, t in enumerate(texts):
                 if len(t) > chunk:
                     found[i] = count_long(t, tokenizer, chunk, overlap)
