@@ -139,7 +139,7 @@ def exec_prompt(prompt: Column, content: Column, head: tuple[str, ...]) -> Colum
 def profile(c: Column) -> Column:
     """A trimmed profile name, null if blank; raises for other characters than letters, digits, dash and underscore."""
     p = js_trim(c)
-    return F.when(p.rlike(r"^[A-Za-z0-9_-]+\z"), p).when(p == "", F.lit(None)).otherwise(F.when(p.isNotNull(), F.raise_error(F.lit("profile must contain only letters, numbers, hyphens, or underscores.")).cast("string")))
+    return F.when(p.rlike(r"^[A-Za-z0-9_-]+\z"), p).when(p == "", F.lit(None)).otherwise(F.when(p.isNotNull(), F.raise_error(F.lit("a profile has letters, digits, hyphens and underscores only")).cast("string")))
 
 
 def effort(c: Column) -> Column:

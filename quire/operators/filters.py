@@ -49,7 +49,7 @@ def title_reason(title: Column, rules: list[dict]) -> Column:
         elif rule.get("type") == "regex" and isinstance(rule.get("pattern"), str):
             pattern = java_regex(rule["pattern"], rule.get("flags"))
             if pattern is None:
-                warnings.warn(f'Skipping invalid EPUB title filter regex "{rule["pattern"]}"', stacklevel=2)
+                warnings.warn(f"a title rule does not compile and is left out: {rule['pattern']}", stacklevel=2)
                 continue
             out = F.when(lower.rlike(pattern), F.lit(f"matches filter pattern: {rule['pattern']}")).otherwise(out)
     return F.when(title.isNotNull() & (title != ""), out)

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The messages of errors in this module are those that users of such ranges and selections know.
 _RANGE = re.compile(r"(\d+)\s*-\s*(\d+)")
 _JS_SPACE = "\t\n\x0b\f\r \u00A0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 

@@ -69,7 +69,7 @@ def prepared(rules: DataFrame) -> DataFrame:
                 elif kind == "regex" and isinstance(pattern, str):
                     java = java_regex(pattern, flags if isinstance(flags, str) else None)
                     if java is None:
-                        warnings.warn(f'Skipping invalid EPUB title filter regex "{pattern}"', stacklevel=2)
+                        warnings.warn(f"a title rule does not compile and is left out: {pattern}", stacklevel=2)
                         continue
                     need = required(pattern, flags if isinstance(flags, str) else None)
                     grams = sorted({need[i : i + GRAM] for i in range(len(need) - GRAM + 1)})

@@ -110,7 +110,7 @@ def template_path(target: str | None = None, source: str | None = None, folder:
     if not extension:
         return os.path.join(target, "index.json")
     if extension.lower() != ".json":
-        raise ValueError("Index template output must end with .json")
+        raise ValueError(f"an index template is a .json file, not {extension}")
     return target
 
 

@@ -74,7 +74,7 @@ def test_default_titles(spark):
 
 def test_cascade(spark):
     c = spark.createDataFrame([("b", i, t, x) for i, (t, x) in enumerate([("One", "x" * 50), ("Two", "y" * 50), ("Index", "z" * 50), ("Four", "  "), ("Five", "short"), ("Six", "w" * 2000), (None, "v" * 50)], 1)], "book_id string, ord int, title string, text string")
-    with pytest.warns(UserWarning, match="Skipping invalid"):
+    with pytest.warns(UserWarning, match="does not compile"):
         out = filters.with_reason(c, start=2, end=9, excluded=[2], min_chars=10, rules=[{"type": "regex", "pattern": "("}, {"type": "string", "value": " "}, *filters.DEFAULT_TITLE_RULES])
     assert [r["filter_reason"] for r in out.orderBy("ord").collect()] == ["outside range 2-9", "excluded by --exclude-sections", "matches filter pattern: ^index$", "empty content", "below minimum characters: 5 < 10", None, None]
     s = assemble.chapters_to_sections(c, rules=filters.DEFAULT_TITLE_RULES)
