@@ -42,5 +42,5 @@ def integer_option(value, flag: str, least: int) -> int | None:
         return None
     whole = not isinstance(value, bool) and isinstance(value, (int, float)) and value == value and abs(value) != float("inf") and value == int(value)
     if not whole or value < least:
-        raise ValueError(f"{flag} takes a whole number from {least} on, not {value!r}")
+        raise ValueError(f"{flag}: a whole number from {least} on, not {value!r}")
     return int(value)

@@ -433,7 +433,7 @@ def test_arguments():
     assert [args.preview_mode(a) for a in (["--no-preview", "--preview"], ["--preview=false"], ["--preview=3"], [])] == ["disabled", "disabled", "enabled", "unset"]
     assert args.integer_option(None, "--x", 1) is None and args.integer_option(0, "--x", 0) == 0
     for bad, least in ((0, 1), (1.5, 0), ("1", 0), (float("nan"), 0), (True, 0)):
-        with pytest.raises(ValueError, match="--x must be a"):
+        with pytest.raises(ValueError, match="--x: a whole number"):
             args.integer_option(bad, "--x", least)
     assert sinks.template_path() == "./index.json" and sinks.template_path(None, "/b/My Book.pdf", "o") == "o/my-book.index.json" and sinks.template_path("d") == "d/index.json" and sinks.template_path("d/x.JSON") == "d/x.JSON"
     with pytest.raises(ValueError):
