@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import slices
 
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 12, 1 << 8
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 14, 1 << 8
 #: A boundary is settled only if this many characters follow it in the left chunk, more than any special string has.
 MARGIN = 32
 
