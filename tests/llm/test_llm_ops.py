@@ -661,7 +661,9 @@ def test_texts_of_megabytes(spark):
     q = {r["doc_id"]: r for r in quality_rules.quality(df).collect()}
     assert q[0]["n_words"] == len(words) and q[0]["word_chars"] == sum(map(len, words)) and q[0]["kept"]
     t = token_counts.load(public_tokenizers.path("byte_bpe_50k.json"))
-    c = {r["doc_id"]: r for r in token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    whole = {r["doc_id"]: r for r in token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    c = {r["doc_id"]: r for r in token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json"), chunk=1 << 12).collect()}
+    assert {i: r["n_tokens"] for i, r in whole.items()} == {i: r["n_tokens"] for i, r in c.items()} and whole[0]["n_splices"] >= len(text) // token_counts.CHUNK_CHARS - 1
     assert c[0]["n_tokens"] == len(t.encode(text, add_special_tokens=False)) and c[0]["n_splices"] > 100 and c[3]["n_splices"] == 0
     assert all(r["same"] for r in pieces.round_trip(df, public_tokenizers.path("piece_bpe_32k.model")).collect())
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
