@@ -33,7 +33,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts alike in 0.8 of their five-word shingles stays: the one of the smallest id, null last."""
+    """One document of each group of texts alike in 0.8 of their five-word shingles stays: the one of the smallest id, null last.
+
+    Pairs within a few bits of SimHash are verified and linked first, then what the prefix filter finds beyond those bits.
+    """
     return keep_one_similar(docs)
 
 

@@ -47,7 +47,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(tokens) - shingle + 1)
     begin, end = starts[:n].tolist(), ends[min(shingle, len(tokens)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin, end)), np.uint64, n)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin, end)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashes: bit i is set if it is set in over half of them; 0 for none."""
+    n = len(hashes)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, _SLICE):
         counts += np.unpackbits(hashes[i : i + _SLICE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

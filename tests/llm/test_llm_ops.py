@@ -596,6 +596,29 @@ def test_similar_texts(spark, docs, rows, empty):
     assert similar.keep_one_similar(empty).count() == 0
 
 
+def test_simhash_gives_the_first_links_of_the_pipeline(spark, monkeypatch):
+    corpus = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    own = []
+    for _ in range(12):  # near copies a few bits apart, and some at about 0.8, beyond them
+        line = [word() for _ in range(600)]
+        for n in (0, 1, 1, 11):
+            own.append(" ".join(word() if i in rng.sample(range(600), n) else w for i, w in enumerate(line)) if n < 2 else " ".join(word() if i % 55 == 7 else w for i, w in enumerate(line)))
+    table = [(i, t, "s") for i, t in enumerate(own)]
+    want = similar_brute([r[:2] for r in table])
+    asked = []
+    links, none = similar.links, similar._meetings
+    monkeypatch.setattr(similar, "links", lambda fps, tau: asked.append(fps.count()) or links(fps, tau))
+    assert {r["doc_id"] for r in corpus.simhash(spark, make(spark, table), "").collect()} == want and asked == [len(set(own))]
+    monkeypatch.setattr(similar, "_meetings", lambda sets: none(sets).limit(0))  # SimHash alone
+    alone = {r["doc_id"] for r in corpus.simhash(spark, make(spark, table), "").collect()}
+    assert want < alone and len(alone) < len(own) - 12
+    monkeypatch.undo()
+    for tau in (0, 8):
+        assert {r["doc_id"] for r in similar.keep_one_similar(make(spark, table), tau=tau).collect()} == want
+
+
 # pipeline
 
 
