@@ -253,6 +253,23 @@ def test_ten_thousand_rules_equal_the_fold(spark):
     assert rows(by_fold) == rows(title_index.with_title_reason(df, filters.rules_table(spark, few)).select("id", "title_reason"))
 
 
+def test_rules_meet_long_titles_by_their_bytes():
+    import numpy as np
+
+    rng = random.Random(9)
+    assert title_index.required_runs(r"this[a-z]*\W+Émile zola.*") == ["this", "mile zola"] and title_index.required_runs("(") == []
+    asked = [b"abc", b"bcab", b"abcabcab", b"cab"]
+    keys = np.array([title_index.key_of(k) for k in asked], np.uint64)
+    slots, codes = np.zeros(1 << title_index.SLOT_BITS, bool), np.zeros(title_index.CODES, bool)
+    slots[title_index._slots(keys)] = True
+    codes[[title_index._codes(*k[:3]) for k in asked]] = True
+    texts = [b"", b"ab", b"c", "é abc ı".encode(), b"abca", *(bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 4000))) for _ in range(60))]
+    ends = np.cumsum([0, *map(len, texts)])
+    t, k = title_index.found_keys(np.frombuffer(b"".join(texts), np.uint8), ends, codes, slots, [3, 4, 8])
+    got = {(int(i), int(x)) for i, x in zip(t, k) if x in keys}
+    assert got == {(i, title_index.key_of(a)) for i, x in enumerate(texts) for a in asked if a in x} and len(t) < 4 * len(texts)
+
+
 # media
 
 
