@@ -12,7 +12,9 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,7 @@ from quire.operators.ordering import ranged
 
 #: Only such lines change the state.
 LIKE_A_FENCE = re.compile(r" {0,3}(?:```|~~~)")
+SUMS = pa.schema([("p", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("one", pa.bool_()), ("out", pa.string()), ("closed", pa.string())])
 
 
 def after(state: str, line: str) -> str:
@@ -74,16 +77,23 @@ def effect(lines: Iterable[str]) -> Effect:
     return out
 
 
-def _runs(frames: Iterator[pd.DataFrame], doc: str) -> Iterator[tuple[object, pd.DataFrame]]:
-    """The rows of sorted frames in runs of one document; a document may have several runs."""
-    for f in frames:
-        if len(f):
-            key = f[doc].astype(object).where(f[doc].notna(), None)
-            edges = (key != key.shift()) & ~(key.isna() & key.shift().isna())
-            edges.iloc[0] = True
-            for _, part in f.groupby(edges.cumsum(), sort=False):
-                value = part[doc].iloc[0]
-                yield (None if pd.isna(value) else value), part
+def _edges(batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
+    """Where the document (column 1) changes inside a batch, 0 first, and the document of each such run."""
+    doc = batch.column(1)
+    n = batch.num_rows
+    one, two = doc.slice(0, n - 1), doc.slice(1)
+    same = pc.fill_null(pc.equal(one, two), False) if n > 1 else pa.array([], pa.bool_())
+    none = np.asarray(doc.is_null())
+    equal = np.asarray(same).astype(bool) | (none[1:] & none[:-1])
+    at = np.append(0, np.flatnonzero(~equal) + 1)
+    return at, doc.take(pa.array(at)).to_pylist()
+
+
+def _likely(batch: pa.RecordBatch) -> tuple[list[int], list[str]]:
+    """Places and texts of the lines (column 2, null unless they look like a fence) that may change the state."""
+    lines = batch.column(2)
+    at = np.flatnonzero(np.asarray(lines.is_valid()))
+    return at.tolist(), lines.take(pa.array(at)).to_pylist()
 
 
 def with_in_code(lines: DataFrame, doc: str = "book_id", order: str = "line_no", line: str = "line", out: str = "in_code", parts: int | None = None) -> DataFrame:
@@ -92,24 +102,34 @@ def with_in_code(lines: DataFrame, doc: str = "book_id", order: str = "line_no",
     Lines are dealt by ranges of (document, order) once; a null line is an empty one, null documents are one, and lines
     of equal order may come in any order. An empty table gives none.
     """
+    fenced = F.when(F.col(f"`{line}`").rlike(LIKE_A_FENCE.pattern.join(("^(?:", ")"))), F.col(f"`{line}`"))
     rows = ranged(lines, doc, order, parts=parts)
     part = F.spark_partition_id().alias("__p")
-    narrow = rows.select(part, F.col(doc).alias("doc"), F.col(line).alias("line"))
-
-    def sum_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, last, found, p, any_rows = None, None, Effect(), 0, False
-        for key, run in _runs(frames, "doc"):
+    # all that the state depends on; most lines are null here
+    narrow = rows.select(part, F.col(f"`{doc}`").alias("__doc"), fenced.alias("__fenced"))
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, found, p, any_rows, one = None, None, Effect(), 0, False, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges, docs = _edges(batch)
             if not any_rows:
-                first, last, any_rows, p = key, key, True, int(run["__p"].iloc[0])
-            if key != last:
-                last, found = key, Effect()
-            for x in run["line"]:
-                if isinstance(x, str) and LIKE_A_FENCE.match(x):
-                    found.add(x)
+                first, last, any_rows, p = docs[0], docs[0], True, batch.column(0)[0].as_py()
+            one = one and len(docs) == 1 and docs[0] == first
+            at, texts = _likely(batch)
+            if docs[-1] != last or len(docs) > 1:  # only the last document of a range goes on
+                if len(docs) > 1 or docs[0] != last:
+                    found = Effect()
+                skip = int(np.searchsorted(at, edges[-1]))
+                at, texts = at[skip:], texts[skip:]
+            last = docs[-1]
+            for x in texts:
+                found.add(x)
         if any_rows:
-            yield pd.DataFrame([(p, None if first is None else str(first), None if last is None else str(last), first == last, found.out, json.dumps(found.closed))], columns=["p", "first", "last", "one", "out", "closed"])
+            yield pa.RecordBatch.from_pylist([{"p": p, "first": None if first is None else str(first), "last": None if last is None else str(last), "one": one, "out": found.out, "closed": json.dumps(found.closed)}], schema=SUMS)
 
-    known = {r["p"]: r for r in narrow.mapInPandas(sum_up, "p int, first string, last string, one boolean, out string, closed string").collect()}
+    known = {r["p"]: r for r in narrow.mapInArrow(sum_up, "p int, first string, last string, one boolean, out string, closed string").collect()}
     entry: dict[int, str] = {}
     state, before = "", object()
     for p in sorted(known):
@@ -120,18 +140,35 @@ def with_in_code(lines: DataFrame, doc: str = "book_id", order: str = "line_no",
 
     names = rows.columns
 
-    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fence, last = None, None
-        for key, run in _runs(frames, doc):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges, docs = _edges(batch)
             if fence is None:
-                fence = entry.get(int(run["__p"].iloc[0]), "")
-            elif key != last:
-                fence = ""
-            last, marks = key, []
-            for x in run[line]:
-                new = after(fence, x) if isinstance(x, str) and LIKE_A_FENCE.match(x) else fence
-                marks.append(bool(fence or new))
-                fence = new
-            yield run[names].assign(**{out: marks})
-
-    return rows.select("*", part).mapInPandas(mark, T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())]))
+                fence, last = entry.get(batch.column(0)[0].as_py(), ""), docs[0]
+            # the state changes where a document begins and at lines like fences; between them it stays
+            marks = np.zeros(batch.num_rows, bool)
+            at, texts = _likely(batch)
+            begin = edges.tolist()
+            if docs[0] == last:
+                begin = begin[1:]
+            starts, i, done = iter([*begin, batch.num_rows]), 0, 0
+            for stop in starts:
+                while i < len(at) and at[i] < stop:
+                    if fence:
+                        marks[done : at[i]] = True
+                    new = after(fence, texts[i])
+                    marks[at[i]] = bool(fence or new)
+                    fence, done = new, at[i] + 1
+                    i += 1
+                if fence:
+                    marks[done:stop] = True
+                done = stop
+                if stop < batch.num_rows:
+                    fence = ""
+            last = docs[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(marks)], names=[*names, out])
+
+    return rows.select(part, F.col(f"`{doc}`").alias("__doc"), fenced.alias("__fenced"), *[F.col(f"`{c}`") for c in names]).mapInArrow(mark, T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())]))
