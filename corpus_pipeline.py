@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import documents, drop_table, table
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import mix
-from quire.llm.pieces import decode, encode
+from quire.llm.pieces import encode_decode
 from quire.llm.quality_rules import keep_quality
 from quire.llm.similar import keep_one_similar
 
@@ -48,10 +48,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded corpus, and whether its ids decode to the text; a null text counts as empty, here and in `same`."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text"), model)
-    coded = coded.withColumn("kept_ids", F.col("ids"))
-    plain = decode(coded, model)
-    return plain.select("doc_id", "lang", "source", F.col("kept_ids").alias("ids"), F.size("kept_ids").cast("bigint").alias("n_pieces"), (F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256")).alias("same"))
+    coded = encode_decode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text"), model)
+    same = F.sha2(F.col("decoded").cast("binary"), 256) == F.col("text_sha256")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_pieces"), same.alias("same"))
 
 
 STAGES = [

@@ -29,6 +29,8 @@ UNIGRAM, BPE = 1, 2
 CACHE = 250_000
 #: Words of more characters run through the automaton one by one; the others so many at a time.
 SHORT, BLOCK = 64, 1 << 15
+#: Bytes of Arrow data that are encoded or decoded at a time: the arrays of words and ids take some twenty times as much.
+PART_BYTES = 1 << 20
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -491,18 +493,26 @@ def load(path: str) -> Pieces:
         return Pieces(f.read())
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: str, path: str, method: str) -> DataFrame:
+def _mapped(df: DataFrame, column: str, steps: dict[str, tuple[str, str]], path: str) -> DataFrame:
+    """df without the column and with a column for each step (its name: its type and its method), each worked out from the one before."""
     others = [c for c in df.columns if c != column]
-    out = free_name(out, others)
+    fields = []
+    for out, (kind, _) in steps.items():
+        fields.append(T.StructField(free_name(out, [*others, *(f.name for f in fields)]), T._parse_datatype_string(kind)))
     narrow = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{column}`"))
+    names, methods = [*others, *(f.name for f in fields)], [m for _, m in steps.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call = getattr(load(path), method)
+        model = load(path)
         for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], call(part.column(len(others)))], names=[*others, out])
+            for part in slices(batch, PART_BYTES):
+                columns = [*part.columns]
+                for method in methods:
+                    columns.append(getattr(model, method)(columns[-1]))
+                del columns[len(others)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:-1], T.StructField(out, T._parse_datatype_string(kind))]))
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema.fields[:-1], *fields]))
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -511,7 +521,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", out: str = "i
     Every row keeps its place among repeated ones. A column of the name `out` is kept, and the ids get the name with
     underscores after it; an empty table gives none.
     """
-    return _mapped(df, text_col, out, "array<int>", model_path, "encode_array")
+    return _mapped(df, text_col, {out: ("array<int>", "encode_array")}, model_path)
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -520,7 +530,15 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out: str = "tex
     Bytes that are no UTF-8 become U+FFFD; an id that the model does not have is an error. Names and repeated rows are
     as in encode().
     """
-    return _mapped(df, ids_col, out, "string", model_path, "decode_array")
+    return _mapped(df, ids_col, {out: ("string", "decode_array")}, model_path)
+
+
+def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", out: str = "ids", back: str = "decoded") -> DataFrame:
+    """df without the text, with its ids and the text that these decode to, as by encode() and decode().
+
+    One worker of a task does both: each holds a model and batches of its own beside the executor's heap.
+    """
+    return _mapped(df, text_col, {out: ("array<int>", "encode_array"), back: ("string", "decode_array")}, model_path)
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -530,8 +548,6 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     space. Null texts count as empty; repeated rows and null ids keep their rows; other columns are not read.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256).alias("sha"), F.col(f"`{text_col}`").alias("text"))
-    coded = encode(narrow, model_path)
-    facts = coded.select("id", "sha", F.size("ids").cast("bigint").alias("n_pieces"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    plain = decode(facts, model_path)
-    made = F.sha2(F.col("text").cast("binary"), 256)
-    return plain.select(F.col("id").alias(id_col), "n_pieces", "ids_sha256", made.alias("decoded_sha256"), F.length("text").cast("bigint").alias("n_decoded_chars"), (made == F.col("sha")).alias("same"))
+    coded = encode_decode(narrow, model_path)
+    made, ids = F.sha2(F.col("decoded").cast("binary"), 256), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return coded.select(F.col("id").alias(id_col), F.size("ids").cast("bigint").alias("n_pieces"), ids.alias("ids_sha256"), made.alias("decoded_sha256"), F.length("decoded").cast("bigint").alias("n_decoded_chars"), (made == F.col("sha")).alias("same"))

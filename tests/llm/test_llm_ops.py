@@ -622,6 +622,20 @@ def test_simhash_gives_the_first_links_of_the_pipeline(spark, monkeypatch):
 # pipeline
 
 
+def test_encoding_and_decoding_take_one_python_worker_a_task(spark, docs):
+    """Each Python node of a stage is a worker of its own in every task, with a model and batches beside the executor's heap."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    corpus = pytest.importorskip("corpus_pipeline")
+    for df in (pieces.round_trip(docs, path), corpus.sentencepiece(spark, docs.withColumn("lang", F.lit("en")), "")):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    both = pieces.encode_decode(docs.select("doc_id", "source", "text"), path, out="ids", back="source")
+    assert both.columns == ["doc_id", "source", "ids", "source_"]
+    coded = pieces.encode(docs.select("doc_id", "text"), path)
+    apart = pieces.decode(coded.withColumn("kept", F.col("ids")), path)
+    key = lambda rows: Counter((i, tuple(ids), t) for i, ids, t in rows)
+    assert key(both.select("doc_id", "ids", "source_").collect()) == key(apart.select("doc_id", "kept", "text").collect())
+
+
 def test_pipeline(spark):
     corpus = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"
